@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import tag_form_sql
 from ..storage import table
+from .clusters import set_clusters, similar_clusters
+from .cooccurrence import together
+from .groups import components
 from .neighbors import neighbors
+from .terms import counted, term_frequencies
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -21,7 +26,124 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+# Problem 1: frequency of every distinct term
+
+_TERMS = f"""
+WITH newest AS (
+  SELECT image_id, tags, row_number() OVER (PARTITION BY image_id ORDER BY captioned_at DESC NULLS LAST, result_id DESC NULLS LAST) AS rn
+  FROM caption_results WHERE image_id IS NOT NULL),
+raw AS (SELECT image_id, unnest(tags) AS t FROM newest WHERE rn = 1),
+terms AS (SELECT image_id, {tag_form_sql("t")} AS term FROM raw),
+rec AS (SELECT image_id, term, count(*) AS times FROM terms WHERE term <> '' GROUP BY ALL),
+n AS (SELECT count(DISTINCT image_id) AS n FROM rec),
+freq AS (SELECT term, sum(times) AS occurrences, count(*) AS records FROM rec GROUP BY term)
+"""
+
+
+@query("p1_found", _TERMS + """
+SELECT term AS tag, 'rare' AS mark FROM freq WHERE records < 5
+UNION ALL SELECT term, 'common' FROM freq, n WHERE records * 5 >= n * 2""")
+def p1_found(spark, sf_dir):
+    records, n = counted(table(spark, sf_dir, "caption_results"))
+    marks = F.array_compact(F.array(F.when(F.col("is_rare"), F.lit("rare")), F.when(F.col("is_common"), F.lit("common"))))
+    return term_frequencies(records, n).select(F.col("term").alias("tag"), F.explode(marks).alias("mark"))
+
+
+@query("p1_terms", _TERMS + """
+SELECT term AS tag, CAST(occurrences AS BIGINT) AS occurrences, records AS images, records < 5 AS is_rare, records * 5 >= n * 2 AS is_common FROM freq, n""")
+def p1_terms(spark, sf_dir):
+    records, n = counted(table(spark, sf_dir, "caption_results"))
+    return term_frequencies(records, n).select(F.col("term").alias("tag"), "occurrences", F.col("records").alias("images"), "is_rare", "is_common")
+
+
+# Problem 2: pairwise matches into groups
+
+
+@query("p2_found", """
+WITH RECURSIVE ids AS (SELECT DISTINCT image_id FROM image_records WHERE image_id IS NOT NULL),
+m AS (SELECT DISTINCT left_id AS a, right_id AS b FROM match_pairs
+      WHERE left_id <> right_id AND similarity >= 0.85 AND NOT isnan(similarity)
+        AND left_id IN (SELECT image_id FROM ids) AND right_id IN (SELECT image_id FROM ids)),
+e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
+reach(id, g) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.g FROM reach r JOIN e ON e.a = r.id WHERE r.g < e.b)
+SELECT id AS image_id, min(g) AS group_id FROM reach GROUP BY id""")
+def p2_found(spark, sf_dir):
+    ids = table(spark, sf_dir, "image_records").select("image_id").distinct()
+    m = table(spark, sf_dir, "match_pairs").filter("similarity >= 0.85D AND NOT isnan(similarity) AND left_id <> right_id")
+    pairs = m.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(ids.select(F.col("image_id").alias(side)), side, "left_semi")
+    return components(pairs).select(F.col("id").alias("image_id"), "group_id")
+
+
+# Problem 3: most similar vectors
+
+
 @query("p3_found")
 def p3_found(spark, sf_dir):
     near = neighbors(table(spark, sf_dir, "image_records"), "image_id", "embedding", k=10, floor=0.82)
     return near.select(F.least("id", "other").alias("image_id"), F.greatest("id", "other").alias("neighbor_id")).distinct()
+
+
+@query("p3_neighbors")
+def p3_neighbors(spark, sf_dir):
+    """The listed neighbors of the query set: every image whose id is divisible by 20, searched among all images."""
+    near = neighbors(table(spark, sf_dir, "image_records"), "image_id", "embedding", k=10, floor=0.82)
+    return near.filter("id % 20 = 0").select(F.col("id").alias("image_id"), F.col("other").alias("neighbor_id"), (F.col("sim") / 1e6).alias("similarity"))
+
+
+# Problem 6: similarity clusters
+
+
+@query("p6_found")
+def p6_found(spark, sf_dir):
+    found = similar_clusters(table(spark, sf_dir, "image_records"), "image_id", "embedding", floor=0.90)
+    return found.select(F.col("id").alias("image_id"), "medoid_id")
+
+
+@query("p6_clusters")
+def p6_clusters(spark, sf_dir):
+    found = similar_clusters(table(spark, sf_dir, "image_records"), "image_id", "embedding", floor=0.90)
+    return found.groupBy("medoid_id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list("id")).alias("members"))
+
+
+@query("p6_tag_clusters")
+def p6_tag_clusters(spark, sf_dir):
+    """Images whose newest tag sets are alike: the set form of the operator."""
+    records, _ = counted(table(spark, sf_dir, "caption_results"))
+    sets = records.groupBy("id").agg(F.collect_set("term").alias("items"))
+    return set_clusters(sets, floor=0.8).select(F.col("id").alias("image_id"), "medoid_id", "size")
+
+
+# Problem 7: items that appear together
+
+_PAIRS = _TERMS + """,
+pairs AS (SELECT a.term AS tag_a, b.term AS tag_b, count(*) AS c FROM rec a JOIN rec b ON a.image_id = b.image_id AND a.term < b.term GROUP BY ALL),
+named AS (SELECT tag_a, tag_b, c, x.records AS n_a, y.records AS n_b, n.n FROM pairs JOIN freq x ON x.term = tag_a JOIN freq y ON y.term = tag_b, n
+  WHERE c >= 5 AND c * 500 >= n.n)
+"""
+
+
+@query("p7_found", _PAIRS + "SELECT tag_a, tag_b FROM named WHERE CAST(c AS HUGEINT) * n >= 3 * CAST(n_a AS HUGEINT) * n_b")
+def p7_found(spark, sf_dir):
+    records, n = counted(table(spark, sf_dir, "caption_results"))
+    pairs = together(records.select("id", "term"), n, least=5, least_share="0.002", lift_floor=3)
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    often = wide("both") * F.lit(n) >= wide("n_a") * F.col("n_b").cast("decimal(18,0)") * 3
+    return pairs.filter(often).select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"))
+
+
+@query("p7_pairs")
+def p7_pairs(spark, sf_dir):
+    """Every pair with its exact count, lift, expectation under the null, tail and verdict."""
+    records, n = counted(table(spark, sf_dir, "caption_results"))
+    pairs = together(records.select("id", "term"), n, least=5, least_share="0.002")
+    lift = F.col("both") * F.lit(float(n)) / F.col("n_a") / F.col("n_b")
+    return pairs.select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), F.col("both").alias("images"), lift.alias("lift"), "expected", "ln_p", "surprising")
+
+
+@query("p7_counts", _PAIRS + "SELECT tag_a, tag_b, c AS images, n_a, n_b FROM named")
+def p7_counts(spark, sf_dir):
+    records, n = counted(table(spark, sf_dir, "caption_results"))
+    pairs = together(records.select("id", "term"), n, least=5, least_share="0.002")
+    return pairs.select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), F.col("both").alias("images"), "n_a", "n_b")

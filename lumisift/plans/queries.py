@@ -2,5 +2,62 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions.text import tag_form_sql
+from ..operators import hierarchy as tree
+from ..storage import table
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return keep
+
+
+# Problem 4: parent-child links to full hierarchies
+
+_LINKS = f"""
+WITH RECURSIVE raw AS (
+  SELECT child, unnest(list_concat(coalesce(child_to_direct_parents, []), coalesce(child_to_parents, []))) AS p FROM parent_rules),
+links AS (SELECT DISTINCT child, parent FROM (SELECT {tag_form_sql("child")} AS child, {tag_form_sql("p")} AS parent FROM raw) WHERE child <> '' AND parent <> ''),
+nodes AS (SELECT DISTINCT node FROM (SELECT {tag_form_sql("child")} AS node FROM parent_rules UNION ALL SELECT parent FROM links) WHERE node <> ''),
+up(node, anc) AS (SELECT child, parent FROM links UNION SELECT up.node, links.parent FROM up JOIN links ON up.anc = links.child)
+"""
+
+_HIERARCHY = _LINKS + """,
+cyc AS (SELECT a.node, min(a.anc) AS root FROM up a JOIN up b ON a.node = b.anc AND a.anc = b.node GROUP BY a.node),
+below AS (SELECT DISTINCT node FROM up WHERE anc IN (SELECT node FROM cyc) AND node NOT IN (SELECT node FROM cyc)),
+good AS (SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM cyc) AND node NOT IN (SELECT node FROM below)),
+straight AS (SELECT l.* FROM links l WHERE l.child IN (SELECT node FROM good) AND NOT EXISTS (
+  SELECT 1 FROM links q JOIN up ON up.node = q.parent WHERE q.child = l.child AND up.anc = l.parent)),
+ways(node, root, depth, path) AS (
+  SELECT node, node, 0, node FROM good WHERE node NOT IN (SELECT child FROM straight)
+  UNION ALL SELECT s.child, w.root, w.depth + 1, w.path || '/' || s.child FROM ways w JOIN straight s ON s.parent = w.node)
+"""
+
+
+def _rules(spark, sf_dir):
+    return table(spark, sf_dir, "parent_rules")
+
+
+@query("p4_found", _HIERARCHY + """
+SELECT node AS tag, 'path' AS kind, root AS root_tag, depth AS tag_depth, path AS tag_path FROM ways
+UNION ALL SELECT node, 'cycle', root, -1, '' FROM cyc UNION ALL SELECT node, 'below', '', -1, '' FROM below""")
+def p4_found(spark, sf_dir):
+    found = tree.hierarchy(_rules(spark, sf_dir), "child", ["child_to_direct_parents", "child_to_parents"])
+    return found.select(F.col("node").alias("tag"), "kind", F.col("root").alias("root_tag"), F.col("depth").alias("tag_depth"), F.col("path").alias("tag_path"))
+
+
+@query("p4_descendants", _LINKS + "SELECT anc AS tag, node AS descendant FROM up")
+def p4_descendants(spark, sf_dir):
+    """All descendants of every tag; a tag on a cycle is its own."""
+    links, _ = tree.links_of(_rules(spark, sf_dir), "child", ["child_to_direct_parents", "child_to_parents"])
+    return tree.ancestors(links).select(F.col("anc").alias("tag"), F.col("node").alias("descendant"))

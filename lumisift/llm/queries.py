@@ -9,7 +9,10 @@ from ..storage import table
 from .clusters import set_clusters, similar_clusters
 from .cooccurrence import together
 from .groups import components
+from .mixing import mix
 from .neighbors import neighbors
+from .packing import pack
+from .sampling import DIMENSIONS, proportional_samples
 from .terms import counted, term_frequencies
 
 QUERIES: dict = {}
@@ -147,3 +150,87 @@ def p7_counts(spark, sf_dir):
     records, n = counted(table(spark, sf_dir, "caption_results"))
     pairs = together(records.select("id", "term"), n, least=5, least_share="0.002")
     return pairs.select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), F.col("both").alias("images"), "n_a", "n_b")
+
+
+# Problem 5: samples of target proportions
+
+def _asks_sql() -> str:
+    parts = []
+    for d in DIMENSIONS:
+        got = {k: f"CASE WHEN {d.target} IS NULL THEN {v!r}::DOUBLE ELSE greatest(coalesce(element_at({d.target}, '{k}')[1], 0::DOUBLE), 0::DOUBLE) END" for k, v in d.defaults}
+        total = " + ".join(f"({v})" for v in got.values())
+        parts += [f"SELECT request_id, job_id, target_size, min_per_category, '{d.name}' AS dimension, '{k}' AS category, {v} AS share, {total} AS total FROM req" for k, v in got.items()]
+    return " UNION ALL ".join(parts)
+
+
+_SAMPLE = f"""
+WITH newest AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY tagged_at DESC NULLS LAST, loaded_at DESC NULLS LAST) AS rn FROM curated_items),
+items AS (SELECT job_id, {tag_form_sql("people_count")} AS people_count, {tag_form_sql("framing")} AS framing, {tag_form_sql("outdoors")} AS outdoors FROM newest WHERE rn = 1),
+there AS (SELECT job_id, 'people_count' AS dimension, people_count AS category, count(*) AS available FROM items GROUP BY ALL
+  UNION ALL SELECT job_id, 'framing', framing, count(*) FROM items GROUP BY ALL
+  UNION ALL SELECT job_id, 'outdoors', outdoors, count(*) FROM items GROUP BY ALL),
+req AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY submitted_at DESC) AS rn FROM finalize_requests) WHERE rn = 1),
+asks AS ({_asks_sql()}),
+wanted AS (SELECT *, greatest(round(share / total * coalesce(target_size, 0), 6), CASE WHEN share > 0 THEN coalesce(min_per_category, 0) ELSE 0 END) AS need FROM asks WHERE total > 0),
+report AS (SELECT w.request_id, w.dimension, w.category, w.need, coalesce(t.available, 0) AS available
+  FROM wanted w LEFT JOIN there t ON t.job_id = w.job_id AND t.dimension = w.dimension AND t.category = w.category)
+"""
+
+
+@query("p5_found", _SAMPLE + "SELECT request_id, dimension, category FROM report WHERE available < need")
+def p5_found(spark, sf_dir):
+    _, report = proportional_samples(table(spark, sf_dir, "curated_items"), table(spark, sf_dir, "finalize_requests"))
+    return report.filter("short").select("request_id", "dimension", "category")
+
+
+@query("p5_report", _SAMPLE + "SELECT request_id, dimension, category, round(need, 4) AS need, available FROM report")
+def p5_report(spark, sf_dir):
+    _, report = proportional_samples(table(spark, sf_dir, "curated_items"), table(spark, sf_dir, "finalize_requests"))
+    return report.select("request_id", "dimension", "category", F.round("need", 4).alias("need"), "available")
+
+
+@query("p5_sample")
+def p5_sample(spark, sf_dir):
+    return proportional_samples(table(spark, sf_dir, "curated_items"), table(spark, sf_dir, "finalize_requests"))[0]
+
+
+# Problem 8: filling sequences
+
+
+@query("p8_found")
+def p8_found(spark, sf_dir):
+    """Documents that had to be split: those with a second piece."""
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048).filter("piece = 1").select(F.col("id").alias("doc_id"))
+
+
+@query("p8_packing")
+def p8_packing(spark, sf_dir):
+    p = pack(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048)
+    return p.select(F.col("id").alias("doc_id"), "piece", F.col("n").alias("tokens"), "sequence_id", "at")
+
+
+@query("p8_fill")
+def p8_fill(spark, sf_dir):
+    """How full the sequences are."""
+    p = pack(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048)
+    return p.agg((F.max("sequence_id") + 1).alias("sequences"), F.sum("n").alias("tokens"), (F.sum("n") / ((F.max("sequence_id") + 1) * 2048)).alias("fill"))
+
+
+# Problem 9: mixing sources
+
+
+@query("p9_found")
+def p9_found(spark, sf_dir):
+    _, report = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), "doc_id", "text", "source")
+    return report.filter("short").select("source")
+
+
+@query("p9_mix")
+def p9_mix(spark, sf_dir):
+    draw, _ = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), "doc_id", "text", "source")
+    return draw.select(F.col("id").alias("doc_id"), "source", F.col("n").alias("tokens"), "uses")
+
+
+@query("p9_shares")
+def p9_shares(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), "doc_id", "text", "source")[1]

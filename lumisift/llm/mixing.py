@@ -25,9 +25,13 @@ EPS = 1e-9
 
 
 def flight(pi: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move ``pi`` until at most two entries are fractional, keeping sum(pi) and sum(pi * n)."""
+    """Move ``pi`` until at most two entries are fractional, keeping sum(pi) and sum(pi * n).
+
+    Long documents are settled first, so that what stays open is short.
+    """
     pi = pi.astype(float).copy()
-    order = rng.permutation(np.flatnonzero((pi > EPS) & (pi < 1 - EPS))).tolist()
+    order = rng.permutation(np.flatnonzero((pi > EPS) & (pi < 1 - EPS)))
+    order = order[np.argsort(n[order], kind="stable")].tolist()  # taken from the end
     draws, open_ = iter(rng.random(len(order) + 3).tolist()), []
     while True:
         while len(open_) < 3 and order:
@@ -62,6 +66,23 @@ def land(pi: np.ndarray, n: np.ndarray) -> np.ndarray:
     return pi
 
 
+def settle(pi: np.ndarray, n: np.ndarray, rng: np.random.Generator, large: float = 0.002) -> np.ndarray:
+    """0 or 1 for every entry: flight and landing, long documents first.
+
+    The last long documents cannot be landed without moving the tokens by a good part of
+    one; what they add or lack is made good in the inclusion probabilities of the others.
+    """
+    out = pi.copy()
+    big = n > large * max((pi * n).sum(), 1.0)
+    out[big] = land(flight(pi[big], n[big], rng), n[big])
+    rest = ~big
+    have = (pi[rest] * n[rest]).sum()
+    if have > 0:
+        gap = (pi[big] * n[big]).sum() - (out[big] * n[big]).sum()
+        out[rest] = land(flight(np.clip(pi[rest] * (1 + gap / have), 0.0, 1.0), n[rest], rng), n[rest])
+    return out
+
+
 def mix(df: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_col: str, block: int = 4096, seed: int = 9, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(draw, report). draw: (id, source, n, uses) of every drawn document. report, a row per
     target: (source, target_share, max_repeats, need, available, drawn, actual_share, short).
@@ -101,8 +122,8 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_co
             p = p.sort_values("id", kind="stable")
             key = zlib.crc32(f"{p.source.iloc[0]}/{int(p.block.iloc[0])}/{last}".encode())
             n = p.n.to_numpy(float)
-            pi = flight(p.pi.to_numpy(float), n, np.random.default_rng([seed, key]))
-            return p.assign(pi=land(pi, n) if last else pi)
+            move = settle if last else flight
+            return p.assign(pi=move(p.pi.to_numpy(float), n, np.random.default_rng([seed, key])))
 
         return run
 

@@ -9,6 +9,7 @@ from ..storage import table
 from .clusters import set_clusters, similar_clusters
 from .cooccurrence import together
 from .groups import components
+from .languages import document_languages, given_code
 from .mixing import mix
 from .neighbors import neighbors
 from .packing import pack
@@ -234,3 +235,26 @@ def p9_mix(spark, sf_dir):
 @query("p9_shares")
 def p9_shares(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), "doc_id", "text", "source")[1]
+
+
+# Problem 10: languages of documents
+
+
+def _languages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs, document_languages(docs, "doc_id", "text", "lang")
+
+
+@query("p10_found")
+def p10_found(spark, sf_dir):
+    """Segments of the documents that are mixed or whose label is not their language's code."""
+    docs, seg = _languages(spark, sf_dir)
+    label = docs.select(F.col("doc_id").alias("id"), given_code(F.col("lang")).alias("label"))
+    wrong = (F.col("segments") > 1) | ~F.col("label").eqNullSafe(F.col("lang"))
+    return seg.join(label, "id").filter(wrong).select(F.col("id").alias("doc_id"), "segment_no", "lang")
+
+
+@query("p10_segments")
+def p10_segments(spark, sf_dir):
+    seg = _languages(spark, sf_dir)[1]
+    return seg.select(F.col("id").alias("doc_id"), "segment_no", "lang", "confidence", "sentences")

@@ -109,9 +109,10 @@ def ancestors(links: DataFrame, fragment: int = FRAGMENT, level: int = 0) -> Dat
     parts = max(1, -(-n // fragment))
     spot = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(parts))
     tagged = links.select("child", "parent", spot("child").alias("part"), (spot("child") == spot("parent")).alias("own"))
-    local = cut(tagged.groupBy("part").applyInPandas(_local_ancestors, "node string, anc string, exit boolean"), "fragments")
+    local = tagged.groupBy("part").applyInPandas(_local_ancestors, "node string, anc string, exit boolean")
     if parts == 1:
         return local.select("node", "anc")
+    local = cut(local, "fragments")
     exits, inner = local.filter("exit").select("node", "anc"), local.filter("NOT exit").select("node", "anc")
     border = exits.select(F.col("anc").alias("node")).distinct()
     quotient = cut(exits.join(border, "node", "left_semi").select(F.col("node").alias("child"), F.col("anc").alias("parent")), "quotient")
@@ -156,9 +157,10 @@ def _ways(rows: DataFrame, fragment: int, level: int) -> DataFrame:
     parts = max(1, -(-n // fragment))
     spot = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(parts))
     own = F.coalesce(spot("child") == spot("parent"), F.lit(False)) & F.col("parent").isNotNull()
-    local = cut(rows.withColumns({"part": spot("child"), "own": own}).groupBy("part").applyInPandas(_local_ways, _WAY), "ways")
+    local = rows.withColumns({"part": spot("child"), "own": own}).groupBy("part").applyInPandas(_local_ways, _WAY)
     if parts == 1:
         return local.filter("parent IS NULL")
+    local = cut(local, "ways")
     border = local.filter("parent IS NOT NULL").select(F.col("parent").alias("child")).distinct()
     quotient = cut(local.join(border, "child", "left_semi"), "quotient")
     solved = _ways(quotient, fragment, level + 1) if quotient.count() <= 0.8 * n else _ways_doubled(quotient)

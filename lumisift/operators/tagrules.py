@@ -96,8 +96,8 @@ def threshold(tags: DataFrame, aliases: DataFrame, limits: CaptionLimits) -> tup
 def deny(tags: DataFrame, aliases: DataFrame, limits: CaptionLimits) -> tuple[DataFrame, DataFrame]:
     """Stage 3. Drops tags whose canonical name is that of a denied one."""
     names = V.DENYLIST + (V.OPTIONAL_TEXT if limits.remove_text else []) + list(limits.denylist)
-    spark = tags.sparkSession
-    denied = spark.createDataFrame([(n,) for n in names], "tag string").select(folded(F.col("tag")).alias("tag")).filter("tag <> ''")
+    listed = tags.sparkSession.range(1).select(F.explode(F.array(*(F.lit(n) for n in names))).alias("tag"))
+    denied = listed.select(folded(F.col("tag")).alias("tag")).filter("tag <> ''")
     denied = with_canonical(denied, aliases).select("canonical", F.lit(True).alias("denied")).distinct()
     t = with_canonical(tags, aliases).join(denied, "canonical", "left")
     audit = _audit(t.filter("denied"), 3, "denylisted", _details(canonical_tag=_other_name(t)))
@@ -186,51 +186,95 @@ _ENTRY = "array<struct<ord:bigint,tag:string,score:double,guard:int>>"
 _LOG = "array<struct<ord:bigint,tag:string,score:double,stage:int,reason:string,details:map<string,string>>>"
 
 
-def _fold(state: Column, r: Column) -> Column:
-    tags = state["tags"]
-    among = lambda names: F.filter(tags, lambda x: F.array_contains(names, x["tag"]))
-    ranked = lambda a: F.array_sort(a, lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["tag"] < y["tag"], -1).when(x["tag"] > y["tag"], 1).otherwise(0))
-    names = lambda a: F.transform(a, lambda x: x["tag"])
-    none = F.slice(tags, 1, 0)
-    hits, odd = ranked(among(r["members"])), among(r["others"])
-    n = F.size(hits)
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ranked(a: Column) -> Column:
+    """Entries by (score descending, tag)."""
+    return F.transform(F.array_sort(F.transform(a, lambda x: F.struct((-x["score"]).alias("s"), x["tag"].alias("t"), x.alias("x")))), lambda e: e["x"])
+
+
+def _by_name(a: Column) -> Column:
+    return F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["tag"].alias("t"), x.alias("x")))), lambda e: e["x"])
+
+
+def _names(a: Column) -> Column:
+    return F.transform(a, lambda x: x["tag"])
+
+
+def _text(a: Column) -> Column:
+    return F.array_join(a, ",")
+
+
+def _only(r, hits, odd, none):
+    """(gone, reason, details): keep the best, or drop all if the margin is too small."""
+    pair = r["reason"] == "pair_conflict"
+
+    def body(f):
+        top = F.get(hits, F.lit(0))
+        gone = F.when(F.size(hits) <= f["keep"], none).when(f["clear"], F.slice(hits, f["keep"] + 1, F.greatest(F.size(hits), F.lit(1)))).otherwise(hits)
+        reason = F.when(f["clear"], F.when(pair, "pair_conflict_loser").otherwise("exclusive_loser")).otherwise(F.when(pair, "pair_conflict_ambiguous").otherwise("exclusive_ambiguous"))
+        why = _details(
+            winners=F.when(f["clear"] & ~pair, _text(_names(F.slice(hits, 1, f["keep"])))), winner=F.when(f["clear"] & pair, top["tag"]), winner_score=F.when(f["clear"] & pair, top["score"]),
+            group=F.when(~f["clear"], _text(F.when(r["reason"] == "age", F.array_sort(_names(hits))).otherwise(_names(hits)))), margin=F.when(r["reason"] != "age", f["gap"]))
+        return _result(gone, reason, why)
 
     keep = F.when(F.size(odd) > 0, r["keep_if"]).otherwise(r["keep"])
     gap = F.get(hits, keep - 1)["score"] - F.get(hits, keep)["score"]
-    clear = gap >= r["margin"]
-    only_gone = F.when(n <= keep, none).when(clear, F.slice(hits, keep + 1, F.greatest(n, F.lit(1)))).otherwise(hits)
-    pair = r["reason"] == "pair_conflict"
-    only_reason = F.when(clear, F.when(pair, "pair_conflict_loser").otherwise("exclusive_loser")).otherwise(F.when(pair, "pair_conflict_ambiguous").otherwise("exclusive_ambiguous"))
-    top = F.get(hits, F.lit(0))
-    only_why = _details(
-        winners=F.when(clear & ~pair, F.array_join(names(F.slice(hits, 1, keep)), ",")), winner=F.when(clear & pair, top["tag"]), winner_score=F.when(clear & pair, top["score"]),
-        group=F.when(~clear, F.array_join(F.when(r["reason"] == "age", F.array_sort(names(hits))).otherwise(names(hits)), ",")), margin=F.when(r["reason"] != "age", gap))
-
-    by_name = lambda a: F.array_sort(a, lambda x, y: F.when(x["tag"] < y["tag"], -1).when(x["tag"] > y["tag"], 1).otherwise(0))
-    prop_gone = F.when(n < r["least"], by_name(odd)).otherwise(none)
+    return _let(F.struct(keep.alias("keep"), gap.alias("gap"), (gap >= r["margin"]).alias("clear")), body)
+
+
+def _prop(r, hits, odd, none):
     support = r["reason"] == "support"
-    prop_why = _details(minimum_support_count=F.when(support, r["least"]), support_found=F.when(support, F.array_join(F.array_sort(names(hits)), ",")))
+    why = _details(minimum_support_count=F.when(support, r["least"]), support_found=F.when(support, _text(F.array_sort(_names(hits)))))
+    return _result(F.when(F.size(hits) < r["least"], _by_name(odd)).otherwise(none), F.lit("missing_support"), why)
+
 
+def _feet(r, tags, hits, odd, none):
     bare = F.filter(tags, lambda x: x["tag"] == "barefoot")
+
+    def body(f):
+        foot, worn, apart = f["foot"], f["worn"], f["apart"]
+        unclear, won = apart < r["margin"], foot > worn["score"]
+        gone = F.when((F.size(f["bare"]) == 0) | (F.size(hits) == 0) | (F.size(odd) > 0), none).when(unclear, _by_name(F.concat(f["bare"], hits))).when(won, _by_name(hits)).otherwise(f["bare"])
+        why = _details(
+            group=F.when(unclear, _text(F.concat(F.array(F.lit("barefoot")), F.array_sort(_names(hits))))), winner=F.when(~unclear, F.when(won, "barefoot").otherwise(worn["tag"])),
+            winner_score=F.when(~unclear, F.greatest(foot, worn["score"])), margin=apart)
+        return _result(gone, F.when(unclear, "pair_conflict_ambiguous").otherwise("pair_conflict_loser"), why)
+
     # the best worn item: highest score, then the later name
     worn = F.array_max(F.transform(hits, lambda x: F.struct(x["score"].alias("score"), x["tag"].alias("tag"))))
     foot = F.get(bare, F.lit(0))["score"]
-    apart = F.abs(foot - worn["score"])
-    feet_gone = F.when((F.size(bare) == 0) | (n == 0) | (F.size(odd) > 0), none).when(apart < r["margin"], by_name(F.concat(bare, hits))).when(foot > worn["score"], by_name(hits)).otherwise(bare)
-    unclear = apart < r["margin"]
-    bare_won = foot > worn["score"]
-    feet_why = _details(
-        group=F.when(unclear, F.array_join(F.concat(F.array(F.lit("barefoot")), F.array_sort(names(hits))), ",")), winner=F.when(~unclear, F.when(bare_won, "barefoot").otherwise(worn["tag"])),
-        winner_score=F.when(~unclear, F.greatest(foot, worn["score"])), margin=apart)
-
-    kind = r["kind"]
-    gone = F.when(r["solo"] & ~state["solo"], none).when(kind == "only", only_gone).when(kind == "prop", prop_gone).otherwise(feet_gone)
-    reason = F.when(kind == "only", only_reason).when(kind == "prop", "missing_support").otherwise(F.when(unclear, "pair_conflict_ambiguous").otherwise("pair_conflict_loser"))
-    why = F.when(kind == "only", only_why).when(kind == "prop", prop_why).otherwise(feet_why)
-    seq = F.size(state["log"]).cast("bigint")
-    logged = F.transform(gone, lambda x, i: F.struct((seq + i).alias("ord"), x["tag"].alias("tag"), x["score"].alias("score"), r["stage"].alias("stage"), reason.alias("reason"), why.alias("details")))
-    left = F.when(F.size(gone) == 0, tags).otherwise(F.filter(tags, lambda x: ~F.array_contains(names(gone), x["tag"])))
-    return F.struct(left.alias("tags"), F.concat(state["log"], logged).alias("log"), state["solo"].alias("solo"))
+    return _let(F.struct(bare.alias("bare"), foot.alias("foot"), worn.alias("worn"), F.abs(foot - worn["score"]).alias("apart")), body)
+
+
+def _result(gone, reason, why):
+    return F.struct(gone.alias("gone"), reason.alias("reason"), why.alias("why"))
+
+
+def _fold(state: Column, r: Column) -> Column:
+    tags = state["tags"]
+    none = F.slice(tags, 1, 0)
+    among = lambda names: F.filter(tags, lambda x: F.array_contains(names, x["tag"]))
+
+    def after(f):
+        seq = F.size(state["log"]).cast("bigint")
+        logged = F.transform(f["gone"], lambda x, i: F.struct((seq + i).alias("ord"), x["tag"].alias("tag"), x["score"].alias("score"), r["stage"].alias("stage"), f["reason"].alias("reason"), f["why"].alias("details")))
+        left = F.filter(tags, lambda x: ~F.array_contains(_names(f["gone"]), x["tag"]))
+        changed = F.struct(left.alias("tags"), F.concat(state["log"], logged).alias("log"), state["solo"].alias("solo"))
+        return F.when(F.size(f["gone"]) == 0, state).otherwise(changed)
+
+    def apply(h):
+        hits, odd = h["hits"], h["odd"]
+        by_kind = F.when(r["kind"] == "only", _only(r, hits, odd, none)).when(r["kind"] == "prop", _prop(r, hits, odd, none)).otherwise(_feet(r, tags, hits, odd, none))
+        # with nothing that could lose, the rule is over
+        idle = F.when(r["kind"] == "only", F.size(hits) < 2).when(r["kind"] == "prop", F.size(odd) == 0).otherwise(F.size(hits) == 0)
+        return F.when(idle, state).otherwise(_let(by_kind, after))
+
+    found = F.struct(_ranked(among(r["members"])).alias("hits"), among(r["others"]).alias("odd"))
+    return F.when(r["solo"] & ~state["solo"], state).otherwise(_let(found, apply))
 
 
 def resolve_conflicts(tags: DataFrame, features: DataFrame, limits: CaptionLimits) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..storage import cut, discard
 
 DIGITS = 9  # cosines are rounded before they are ranked or compared
+SMALL = 1_000_000  # graphs of at most so many edges are peeled and labelled within one task
 
 
 def cosine_pairs(vectors: DataFrame, floor: float, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2000) -> DataFrame:
@@ -75,15 +76,43 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(d, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def k_core(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+def _peel(p: pd.DataFrame, k: int) -> pd.DataFrame:
+    a, b = p.src.to_numpy(), p.dst.to_numpy()
+    while len(a):
+        ids, n = np.unique(a, return_counts=True)
+        weak = ids[n < k]
+        if not len(weak):
+            break
+        keep = ~np.isin(a, weak) & ~np.isin(b, weak)
+        a, b = a[keep], b[keep]
+    return pd.DataFrame({"node": np.unique(a)})
+
+
+def _label(p: pd.DataFrame) -> pd.DataFrame:
+    ids, at = np.unique(np.r_[p.src, p.dst], return_inverse=True)
+    a, b = at[: len(p)], at[len(p) :]
+    root = np.arange(len(ids))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        low = low[low]
+        if (low == root).all():
+            return pd.DataFrame({"node": ids, "near": ids[root]})
+        root = low
+
+
+def k_core(nodes: DataFrame, edges: DataFrame, k: int, small: int = SMALL) -> DataFrame:
     """(node) of the k-core: rounds that remove all nodes of fewer than k neighbors at once, until none is.
 
-    Each round is one aggregation and two semi-joins over the remaining edges, written out; k <= 0 keeps every node.
+    Each round is one aggregation and two semi-joins over the remaining edges, written out; a graph of at most
+    ``small`` edges is peeled in one task instead. k <= 0 keeps every node.
     """
     if k <= 0:
         return nodes.select("node")
     left = cut(symmetric(edges).select("src", "dst"), "core")
     n = left.count()
+    if n <= 2 * small:
+        return left.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda p: _peel(p, k), "node long")
     while n:
         strong = left.groupBy("src").agg(F.count("*").alias("d")).filter(F.col("d") >= k).select("src")
         new = cut(left.join(strong, "src", "left_semi").join(strong.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"), "core")
@@ -95,14 +124,19 @@ def k_core(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return left.select(F.col("src").alias("node")).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, component, size): components numbered from 1 by (size descending, smallest node).
 
-    Labels fall to the smallest label next to them and then to that label's own label, until they rest.
+    Labels fall to the smallest label next to them and then to that label's own label, until they rest; a graph
+    of at most ``small`` edges is labelled in one task instead.
     """
     label = cut(nodes.select("node", F.col("node").alias("label")).distinct(), "labels")
     e = cut(symmetric(edges).select("src", "dst"), "edges")
-    while True:
+    one_task = e.count() <= 2 * small
+    if one_task:
+        near = e.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_label, "node long, near long")
+        label = cut(label.join(near, "node", "left").select("node", F.coalesce("near", "label").alias("label")), "labels")
+    while not one_task:
         near = e.join(label.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
         new = label.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
         jump = new.select(F.col("node").alias("label"), F.col("label").alias("further"))

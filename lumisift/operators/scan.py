@@ -46,6 +46,10 @@ def scan_stats(records: DataFrame, least: int, deduplicate: bool = True) -> Data
 
 
 def resolution_label(pixels: Column) -> Column:
-    """720p for exactly 921,600 pixels, else megapixels."""
-    mp = F.regexp_replace(F.format_string("%.6f", pixels / 1e6), r"\.?0+$", "")
-    return F.when(pixels == 921_600, "720p").otherwise(F.concat(mp, F.lit("MP")))
+    """720p for exactly 921,600 pixels, else megapixels with six significant digits; null for null."""
+    mp = pixels / 1e6
+    text = F.format_string("%.7f", mp)
+    for low, digits in ((0.1, 6), (1, 5), (10, 4), (100, 3)):
+        text = F.when(mp >= low, F.format_string(f"%.{digits}f", mp)).otherwise(text)
+    short = F.concat(F.regexp_replace(text, r"\.?0+$", ""), F.lit("MP"))
+    return F.when(pixels == 921_600, "720p").when(pixels.isNotNull(), short)

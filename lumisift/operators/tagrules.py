@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.text import tag_form
+from ..storage import cut
 
 AUDIT = ["image_id", "stage", "ord", "tag", "score", "reason", "details"]
 
@@ -286,7 +287,7 @@ def resolve_conflicts(tags: DataFrame, features: DataFrame, limits: CaptionLimit
     rows = tags.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("bigint").alias("ord"), "tag", "score", "guard"))).cast(_ENTRY).alias("tags"))
     rows = rows.join(features.select("image_id", (F.coalesce(F.col("people") == "1", F.lit(False))).alias("solo")), "image_id", "left")
     start = F.struct(F.col("tags"), F.array().cast(_LOG).alias("log"), F.coalesce("solo", F.lit(False)).alias("solo"))
-    done = rows.select("image_id", F.aggregate(listed, start, _fold).alias("s"))
+    done = cut(rows.select("image_id", F.aggregate(listed, start, _fold).alias("s")), "resolved")  # read twice
     kept = done.select("image_id", F.explode("s.tags").alias("t")).select("image_id", "t.*")
     log = done.select("image_id", F.explode("s.log").alias("l")).select("image_id", "l.*").select(*AUDIT)
     return kept, log
@@ -352,10 +353,10 @@ def captions(raw: DataFrame, features: DataFrame, aliases: DataFrame, closure: D
         logs.append(result[1])
         return result[0]
 
-    t = step(normalize(raw))
+    t = cut(step(normalize(raw)), "normalized")
     t = step(threshold(t, aliases, limits))
     t = step(deny(t, aliases, limits))
-    t = step(override(t, features, aliases))
+    t = cut(step(override(t, features, aliases)), "overridden")  # every later log starts here
     t = step(canonicalize(t, aliases))
     t = step(resolve_conflicts(t, features, limits))
     t = step(drop_parents(t, closure))

@@ -105,7 +105,7 @@ def path_order(spark, sf_dir):
     return P.images(spark, sf_dir).select("job_id", "image_id", F.row_number().over(w).alias("place"))
 
 
-@query("resolution_label", "WITH " + P.IMAGES_SQL + r""" SELECT image_id, CASE WHEN px = 921600 THEN '720p' ELSE regexp_replace(printf('%.6f', px / 1e6), '\.?0+$', '') || 'MP' END AS label
+@query("resolution_label", "WITH " + P.IMAGES_SQL + r""" SELECT image_id, CASE WHEN px = 921600 THEN '720p' ELSE regexp_replace(CASE WHEN px >= 10000000 THEN printf('%.4f', px / 1e6) WHEN px >= 1000000 THEN printf('%.5f', px / 1e6) WHEN px >= 100000 THEN printf('%.6f', px / 1e6) ELSE printf('%.7f', px / 1e6) END, '\.?0+$', '') || 'MP' END AS label
 FROM (SELECT image_id, CAST(width AS BIGINT) * height AS px FROM images)""")
 def resolution_label(spark, sf_dir):
     return P.images(spark, sf_dir).select("image_id", scan.resolution_label(F.col("width").cast("long") * F.col("height")).alias("label"))

@@ -66,20 +66,24 @@ def land(pi: np.ndarray, n: np.ndarray) -> np.ndarray:
     return pi
 
 
-def settle(pi: np.ndarray, n: np.ndarray, rng: np.random.Generator, large: float = 0.002) -> np.ndarray:
+def settle(pi: np.ndarray, n: np.ndarray, rng: np.random.Generator, large: float = 0.02) -> np.ndarray:
     """0 or 1 for every entry: flight and landing, long documents first.
 
     The last long documents cannot be landed without moving the tokens by a good part of
-    one; what they add or lack is made good in the inclusion probabilities of the others.
+    one; what they add or lack is made good in the inclusion probabilities of the shorter ones.
     """
-    out = pi.copy()
-    big = n > large * max((pi * n).sum(), 1.0)
-    out[big] = land(flight(pi[big], n[big], rng), n[big])
-    rest = ~big
-    have = (pi[rest] * n[rest]).sum()
-    if have > 0:
-        gap = (pi[big] * n[big]).sum() - (out[big] * n[big]).sum()
-        out[rest] = land(flight(np.clip(pi[rest] * (1 + gap / have), 0.0, 1.0), n[rest], rng), n[rest])
+    pi, out = pi.astype(float).copy(), np.zeros(len(pi))
+    rest = np.ones(len(pi), dtype=bool)
+    while rest.any():
+        big = rest & (n > large * max((pi[rest] * n[rest]).sum(), 1.0))
+        if not big.any():
+            big = rest
+        out[big] = land(flight(pi[big], n[big], rng), n[big])
+        gap = ((pi[big] - out[big]) * n[big]).sum()
+        rest = rest & ~big
+        have = (pi[rest] * n[rest]).sum()
+        if have > 0:
+            pi[rest] = np.clip(pi[rest] * (1 + gap / have), 0.0, 1.0)
     return out
 
 

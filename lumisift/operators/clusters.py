@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linkage import complete_linkage
 from .graph import components, cosine_pairs
+from .numbering import numbered
 
 
 def complete_linkage_clusters(vectors: DataFrame, floor: float, id_col: str = "vec_id", vec_col: str = "embedding", path_col: str | None = None, largest: int = 8000) -> DataFrame:
@@ -43,10 +44,10 @@ def complete_linkage_clusters(vectors: DataFrame, floor: float, id_col: str = "v
 def number(members: DataFrame) -> DataFrame:
     """Adds cluster_id to (id, path, group): 0, 1, 2 ... by the first path of each group.
 
-    Only one row a group takes part in the ordering.
+    Only one row a group takes part in the ordering; groups that share a first path go by group.
     """
     first = members.groupBy("group").agg(F.min("path").alias("first"))
-    ids = first.withColumn("cluster_id", F.dense_rank().over(Window.orderBy("first")) - 1)
+    ids = numbered(first, ["first", "group"], "cluster_id")
     return members.join(ids.select("group", "cluster_id"), "group")
 
 
@@ -84,8 +85,8 @@ def medoids(members: DataFrame) -> DataFrame:
 
 def singletons(records: DataFrame, id_col: str = "image_id") -> DataFrame:
     """Clustering switched off: every record is its own cluster and medoid."""
-    order = F.row_number().over(Window.orderBy(id_col)) - 1
-    return records.select(F.col(id_col).alias("id")).distinct().withColumnRenamed("id", id_col).select(order.alias("cluster_id"), F.col(id_col).alias("id"), F.lit("medoid").alias("role"))
+    ids = records.select(F.col(id_col).alias("id")).distinct()
+    return numbered(ids, ["id"], "cluster_id").select("cluster_id", "id", F.lit("medoid").alias("role"))
 
 
 def audit(ranked: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut, discard
+from .numbering import numbered
 
 DIGITS = 9  # cosines are rounded before they are ranked or compared
 SMALL = 1_000_000  # graphs of at most so many edges are peeled and labelled within one task
@@ -148,7 +149,7 @@ def components(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFr
         if rests:
             break
     size = label.groupBy("label").agg(F.count("*").alias("size"))
-    order = size.withColumn("component", F.row_number().over(Window.orderBy(F.desc("size"), "label")))  # one row a component
+    order = numbered(size, [F.desc("size"), F.col("label")], "component", 1)
     return label.join(order, "label").select("node", "component", "size")
 
 

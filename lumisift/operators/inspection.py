@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 BOXES = "array<array<double>>"
 _TOKEN = "<box>" + r"<(\d+)>" * 4 + "</box>"
 _RESPONSE = "boxes array<array<double>>, choices array<struct<message:struct<content:string>>>, " + ", ".join(f"{k} array<struct<box:array<double>,bbox:array<double>>>" for k in ("results", "detections", "instances"))
@@ -110,4 +112,4 @@ def bypass(ranked: DataFrame) -> DataFrame:
 
 def manifest_index(manifest: DataFrame) -> DataFrame:
     """Adds the 1-based place in the full manifest, in cluster order."""
-    return manifest.withColumn("index", F.row_number().over(Window.orderBy("cluster_id")))
+    return numbered(manifest, ["cluster_id"], "index", 1)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from ..operators.scan import is_image, path_key
 
 
@@ -95,21 +96,7 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("path"), b.column("sha256"), pa.array([g and g[0] for g in got], pa.int32()), pa.array([g and g[1] for g in got], pa.int32())], names=["path", "sha256", "width", "height"])
 
     found = hashed.mapInArrow(sizes, "path string, sha256 string, width int, height int")
-    return numbered(found)
-
-
-def numbered(files: DataFrame) -> DataFrame:
-    """Adds image_id 0, 1, 2 ... in path order: ranges of the sorted table are counted, then numbered apart."""
-    key = path_key(F.col("path"))
-    parts = files.repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id())
-    from ..storage import cut
-
-    t = cut(parts, "files")
-    from pyspark.sql import Window
-
-    n = t.groupBy("part").agg(F.count("*").alias("n"), F.min("k").alias("k0"))
-    start = n.select("part", "k0", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # one row a partition
-    return t.join(F.broadcast(start), "part").select((F.col("start") + F.col("k") - F.col("k0")).alias("image_id"), *files.columns)
+    return numbered(found, [path_key(F.col("path"))], "image_id").select("image_id", *found.columns)
 
 
 def list_folder(spark: SparkSession, folder: str, output: str | None = None) -> DataFrame:

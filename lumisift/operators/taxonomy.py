@@ -5,6 +5,8 @@ Tables: alias (src, dst), edges (child, parent), names in TAG FORM.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,3 +218,23 @@ def finalize_validations(source: DataFrame, decisions: DataFrame, protected: Dat
         "remove": protected.select("child", "parent").union(decisions.filter("decision <> 'accept'").select("child", "parent")).distinct().join(promoted, ["child", "parent"], "left_anti"),
         "discarded": existing.select("child", "parent").distinct().join(promoted, ["child", "parent"], "left_anti"),
     }
+
+
+def fingerprint(**tables: DataFrame) -> str:
+    """SHA-256 over name, size and an order-free hash of the rows of every input."""
+    parts = []
+    for name, df in sorted(tables.items()):
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *sorted(df.columns))).alias("y")).first()
+        parts.append(f"{name}:{sorted(df.columns)}:{row.n}:{row.x}:{row.y}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+
+def stamped(rules: dict, print_: str, previous: dict | None, now: str) -> dict:
+    """``rules`` with fingerprint and generated_at, which stays as it was while the fingerprint does."""
+    same = previous is not None and previous.get("fingerprint") == print_
+    return {**rules, "fingerprint": print_, "generated_at": previous["generated_at"] if same and "generated_at" in previous else now}
+
+
+def report(examples: int = 25, **tables: DataFrame) -> dict:
+    """Of every table its number of rows and its first rows in the order of their columns."""
+    return {name: {"count": df.count(), "examples": [list(r) for r in df.orderBy(*df.columns).limit(examples).collect()]} for name, df in sorted(tables.items())}

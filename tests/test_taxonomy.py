@@ -87,3 +87,12 @@ def test_parent_cleanup_keeps_order_and_scores(spark):
     tags = spark.createDataFrame([(1, 0, "skirt", 0.9), (1, 1, "Plaid Skirt", 0.5), (1, 2, "plaid_skirt", 0.7), (1, 3, "hat", 0.4)], "id long, ord long, tag string, score double")
     got = X.without_parents(tags, edges(spark, [("plaid_skirt", "skirt")]), edges(spark, [], "src", "dst"))
     assert [(r.tag, r.ord, r.score) for r in got.orderBy("ord").collect()] == [("plaid_skirt", 1, 0.7), ("hat", 3, 0.4)]
+
+
+def test_fingerprint_and_report(spark):
+    a, b = edges(spark, [("x", "y"), ("p", "q")]), edges(spark, [("p", "q"), ("x", "y")])
+    one = X.fingerprint(add=a)
+    assert one == X.fingerprint(add=b) != X.fingerprint(add=edges(spark, [("x", "y")])) and one != X.fingerprint(remove=a)
+    old = X.stamped({"v": 1}, one, None, "monday")
+    assert X.stamped({"v": 1}, one, old, "tuesday")["generated_at"] == "monday" and X.stamped({}, "other", old, "tuesday")["generated_at"] == "tuesday"
+    assert X.report(examples=1, add=a) == {"add": {"count": 2, "examples": [["p", "q"]]}}

@@ -1,12 +1,13 @@
 """Problem 6: clusters of mutually similar records, with size and medoid.
 
-Two forms share one plan: banded hashes give candidate pairs, an exact similarity
+Two forms share one plan: shared keys give candidate pairs, an exact similarity
 verifies them, connected components join them, and loose components are split.
 
 * Vectors: the bands are the hash-prefix forest's leaves (a MinHash of a dense vector
   has no meaning), the similarity is the cosine, and a component is split by complete
   linkage, which is what the cluster definition of this project asks for.
-* Sets: MinHash bands, exact Jaccard, and splitting around highest-degree medoids.
+* Sets: keys of rare items that no pair at the floor escapes (in place of MinHash bands, which
+  miss some), exact Jaccard, and splitting around highest-degree medoids.
 """
 
 from __future__ import annotations
@@ -218,13 +219,41 @@ def link_by_rounds(pairs: DataFrame) -> DataFrame:
     return label
 
 
-def set_clusters(records: DataFrame, floor: float = 0.8, bands: int = 20, rows: int = 6, all_pairs: int = 50, seed: int = 7) -> DataFrame:
+def jaccard_pairs(reps: DataFrame, floor: float) -> DataFrame:
+    """(a, b), a < b: every pair of (id, items) with a Jaccard similarity of at least ``floor``; exact.
+
+    Items are put in one order, rarest first. Sets at the floor share at least ``floor`` of each
+    one's items, so if they share two or more, the first two they share are among the first
+    size - ceil(floor * size) + 2 of both: every two items of these prefixes are a key, and sets meet by key.
+    Sets so small that one shared item can do also meet by single items. Of the sets that meet, those whose
+    sizes, or 128 parity bits of the items, differ too much for the floor are dropped; the rest is verified.
+    """
+    item = reps.select("id", F.explode("items").alias("item"))
+    often = item.groupBy("item").agg(F.count("*").alias("n"))
+    code = item.join(often, "item").select("id", "n", F.xxhash64("item").alias("x")).withColumn("bit", F.pmod("x", F.lit(128)))
+    flag = lambda lo: F.bit_xor(F.when((F.col("bit") >= lo) & (F.col("bit") < lo + 64), F.expr(f"shiftleft(1L, int(bit - {lo}))")).otherwise(F.lit(0).cast("long")))
+    sets = code.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("c"), F.count("*").alias("s"), flag(0).alias("lo"), flag(64).alias("hi"))
+    least = F.ceil(floor * F.col("s") - 1e-9)  # items that any set at the floor shares with this one
+    sets = sets.withColumns({"one": (F.col("s") + least) * floor <= 1 + floor + 1e-9, "p": F.slice("c.x", F.lit(1), (F.col("s") - least + 2).cast("int"))})
+    kept = ["id", "s", "lo", "hi"]
+    two = sets.select(*kept, F.posexplode("p").alias("i", "x"), "p").select(*kept, "x", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("y"))
+    single = sets.filter("one").select(*kept, F.explode("c.x").alias("x"))
+    keys = cut(two.select(F.xxhash64("x", "y").alias("key"), *kept).union(single.select(F.xxhash64("x").alias("key"), *kept)).distinct(), "keys")
+    other = keys.select("key", *(F.col(k).alias(f"{k}_b") for k in kept))
+    differ = F.bit_count(F.col("lo").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi_b")))
+    both = F.col("s") + F.col("s_b")
+    may = (F.col("id") < F.col("id_b")) & (F.least("s", "s_b") + 1e-9 >= floor * F.greatest("s", "s_b")) & (differ * (1 + floor) <= (1 - floor) * both + 1e-9)
+    cand = keys.join(other, "key").filter(may).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+    side = lambda k: reps.select(F.col("id").alias(k), F.col("items").alias(f"s_{k}"))
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return cand.join(side("a"), "a").join(side("b"), "b").filter(common >= floor * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
+
+
+def set_clusters(records: DataFrame, floor: float = 0.8) -> DataFrame:
     """(id, medoid_id, size): clusters of records (id, items array) by Jaccard similarity of their item sets.
 
-    Equal sets are one class. MinHash bands put classes that may be similar together; in a
-    bucket of at most ``all_pairs`` classes each is compared with each, in a larger one with its
-    smallest and its next smaller id, by exact Jaccard
-    over whole sets; components of verified pairs are clusters, and a component that is
+    Equal sets are one class. All pairs of classes at the floor are found (:func:`jaccard_pairs`); components
+    of these pairs are clusters, and a component that is
     not tight around its highest-degree member (ties: smaller id) is split: members of
     higher degree than all they are linked to keep those, the rest goes on among itself, until no link
     is left. Null or empty sets and null ids give no rows; a repeated id must carry one set.
@@ -234,37 +263,7 @@ def set_clusters(records: DataFrame, floor: float = 0.8, bands: int = 20, rows:
     base = cut(base, "sets")
     cls = cut(base.groupBy("h").agg(F.min("id").alias("cid"), F.count("*").alias("n")), "setclasses")
     reps = base.select("id", "items").join(cls.select(F.col("cid").alias("id"), "n"), "id")
-
-    def sign(batches):
-        rng = np.random.default_rng(seed)
-        a = rng.integers(1, 1 << 61, bands * rows, dtype=np.uint64) | np.uint64(1)
-        c = rng.integers(0, 1 << 61, bands * rows, dtype=np.uint64)
-        for p in batches:
-            out = []
-            for i, codes in zip(p.id, p.codes):
-                z = np.asarray(codes, dtype=np.int64).view(np.uint64)
-                v = np.empty(bands * rows, dtype=np.uint64)
-                for lo in range(0, bands * rows, rows):
-                    t = z[:, None] * a[lo : lo + rows] + c[lo : lo + rows]
-                    t ^= t >> np.uint64(29)
-                    v[lo : lo + rows] = (t * np.uint64(0xBF58476D1CE4E5B9)).min(0)
-                out += [(i, k, v[k * rows : (k + 1) * rows].tobytes()) for k in range(bands)]
-            yield pd.DataFrame(out, columns=["id", "band", "key"])
-
-    coded = reps.select("id", F.transform("items", lambda x: F.xxhash64(x)).alias("codes"))
-    buckets = coded.mapInPandas(sign, "id long, band int, key binary")
-    w = Window.partitionBy("band", "key")
-    buckets = cut(buckets.withColumn("m", F.count("*").over(w)).filter("m > 1"), "buckets")
-    few = buckets.filter(F.col("m") <= all_pairs).groupBy("band", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    few = few.select(F.posexplode("ids").alias("i", "id"), "ids").select("id", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("other"))
-    # In a larger bucket every class meets the smallest id and its next smaller one: a chain, never all pairs.
-    chain = buckets.filter(F.col("m") > all_pairs).select("id", F.min("id").over(w).alias("head"), F.lag("id").over(w.orderBy("id")).alias("prev"))
-    cand = few.union(chain.select("id", F.explode(F.array("head", "prev")).alias("other")).filter("other IS NOT NULL AND other <> id"))
-    cand = cand.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    side = lambda k: reps.select(F.col("id").alias(k), F.col("items").alias(f"s_{k}"))
-    both = cand.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    edges = cut(both.filter(common >= floor * (F.size("s_a") + F.size("s_b") - common)).select("a", "b"), "jaccard")
+    edges = cut(jaccard_pairs(reps.select("id", "items"), floor), "jaccard")
     rank = F.struct("d", (-F.col("id")).alias("neg"))
 
     def ranked(links):

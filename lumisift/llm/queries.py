@@ -113,10 +113,10 @@ def p6_clusters(spark, sf_dir):
 
 @query("p6_tag_clusters")
 def p6_tag_clusters(spark, sf_dir):
-    """Images whose newest tag sets share at least half their tags: the set form of the operator, by MinHash."""
+    """Images whose newest tag sets share at least half their tags: the set form of the operator, over all pairs."""
     records, _ = counted(table(spark, sf_dir, "caption_results"))
     sets = records.groupBy("id").agg(F.collect_set("term").alias("items"))
-    return set_clusters(sets, floor=0.5, bands=40, rows=4).select(F.col("id").alias("image_id"), "medoid_id", "size")
+    return set_clusters(sets, floor=0.5).select(F.col("id").alias("image_id"), "medoid_id", "size")
 
 
 # Problem 7: items that appear together

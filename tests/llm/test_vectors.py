@@ -106,3 +106,22 @@ def test_set_clusters(spark):
     for i, (m, _) in got.items():
         assert sim([x for x in dict(sets)[i] if x], [x for x in dict(sets)[m] if x]) >= 0.8
     assert C.set_clusters(df.limit(0)).count() == 0
+
+
+def test_every_pair_of_a_large_bucket_is_verified(spark):
+    # 140 sets around the same 8 items, each similar to its one twin only (9 of 17 items)
+    twins = {}
+    for k in range(70):
+        twins[k] = {f"c{j}" for j in range(8)} | {f"o{k}_{j}" for j in range(5)}
+        twins[1000 - k] = {f"c{j}" for j in range(8)} | {f"o{k}_0"} | {f"z{k}_{j}" for j in range(4)}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in twins.items()], "id long, items array<string>")
+    assert {tuple(r) for r in C.set_clusters(df, 0.5).collect()} == {(i, k, 2) for k in range(70) for i in (k, 1000 - k)}
+
+
+@pytest.mark.parametrize("floor", [0.3, 0.5, 0.8])
+def test_set_pairs_against_brute_force(spark, floor):
+    rng = np.random.default_rng(3)
+    sets = sorted({frozenset(f"r{j}" for j in rng.choice(14, rng.integers(1, 9), replace=False)) for _ in range(250)}, key=sorted)
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= floor * len(sets[a] | sets[b])}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, items array<string>")
+    assert {(r.a, r.b) for r in C.jaccard_pairs(df, floor).collect()} == want and len(want) > 5

@@ -12,9 +12,10 @@ import math
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from ..storage import cut
 
 
@@ -91,10 +92,12 @@ def together(records: DataFrame, n: int, least: int = 5, least_share: str = "0.0
 
     ``records`` is (id, term), distinct. Counts are exact: a term in fewer records than a
     pair needs is in no such pair, and with ``lift_floor`` neither is a term in more than
-    n / lift_floor records, so only the remaining terms are paired (there are at most
-    mean record size / least_share of them, whatever the number of records). Pairs
+    n / lift_floor records, so only the remaining terms are paired. With ``least`` 1 and
+    ``least_share`` 0 every pair that is together at all is returned. Pairs
     are counted within each task before the shuffle. ``surprising`` holds at a
-    false-discovery rate of ``rate`` (Benjamini-Hochberg over all returned pairs). No
+    false-discovery rate of ``rate`` (Benjamini-Hochberg, the number of tests being that of
+    all two terms of ``records``: a pair that is never together is a test with p-value 1; pairs dropped
+    for their counts are held to be none of the discoveries). No
     records, or none with two kept terms, give an empty result.
     """
     share = Fraction(least_share)
@@ -103,13 +106,14 @@ def together(records: DataFrame, n: int, least: int = 5, least_share: str = "0.0
     items = cut(items, "items")
     degrees = {r.n: r.c for r in items.groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most sqrt(2 * rows) entries
     sizes = {r.k: r.c for r in records.groupBy("id").agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("c")).collect()}
+    terms = sum(degrees.values())
     d, x, _, y, m = fit_null(degrees, sizes)
     x_of = dict(zip(d.astype(int).tolist(), x.tolist()))
 
     kept = items.filter(F.col("n") >= need)
     if lift_floor:
         kept = kept.filter(F.col("n") * lift_floor <= n)
-    kept = cut(kept.withColumn("code", F.row_number().over(Window.orderBy("term"))), "codes")  # bounded: see above
+    kept = cut(numbered(kept, ["term"], "code", 1), "codes")
     baskets = records.join(kept.select("term", "code"), "term").groupBy("id").agg(F.sort_array(F.collect_list("code")).alias("c")).filter(F.size("c") > 1)
     first = baskets.select(F.posexplode("c").alias("i", "a"), "c").filter(F.col("i") < F.size("c") - 1)
     pairs = first.select("a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b"))
@@ -119,26 +123,29 @@ def together(records: DataFrame, n: int, least: int = 5, least_share: str = "0.0
 
     def chance(batches):
         for p in batches:
-            xa, xb = p.n_a.map(x_of).to_numpy(float), p.n_b.map(x_of).to_numpy(float)
-            expected, ln_p = np.empty(len(p)), np.empty(len(p))
-            for lo in range(0, len(p), 4096):
+            # Pairs of the same three counts have the same chance: each case is worked out once.
+            case, of = np.unique(np.c_[np.minimum(p.n_a, p.n_b), np.maximum(p.n_a, p.n_b), p["both"]].reshape(-1, 3), axis=0, return_inverse=True)
+            xa, xb = (np.array([x_of[k] for k in case[:, c].tolist()], float) for c in (0, 1))
+            expected, ln_p = np.empty(len(case)), np.empty(len(case))
+            for lo in range(0, len(case), 4096):
                 a, b = xa[lo : lo + 4096, None] * y, xb[lo : lo + 4096, None] * y
                 q = a / (1 + a) * (b / (1 + b))
                 expected[lo : lo + 4096] = (m * q).sum(1)
-                ln_p[lo : lo + 4096] = log_tail(q, m, p["both"].to_numpy(float)[lo : lo + 4096])
-            yield p.assign(expected=expected, ln_p=ln_p)
+                ln_p[lo : lo + 4096] = log_tail(q, m, case[lo : lo + 4096, 2].astype(float))
+            of = of.reshape(-1)
+            yield p.assign(expected=expected[of], ln_p=ln_p[of])
 
     tested = cut(named.mapInPandas(chance, "a string, b string, both long, n_a long, n_b long, expected double, ln_p double"), "pairs")
-    return tested.withColumn("surprising", F.col("ln_p") <= F.lit(bh_limit(tested, rate)))
+    return tested.withColumn("surprising", F.col("ln_p") <= F.lit(bh_limit(tested, rate, terms * (terms - 1) // 2)))
 
 
-def bh_limit(tested: DataFrame, rate: float) -> float:
+def bh_limit(tested: DataFrame, rate: float, total: int | None = None) -> float:
     """ln of the largest p-value that Benjamini-Hochberg accepts, found by counting alone.
 
     From p = rate on, p becomes rate * (tests with p-value <= p) / tests until it rests;
-    it falls monotonically to the procedure's own limit.
+    it falls monotonically to the procedure's own limit. ``total``: the number of tests, if not all are rows.
     """
-    total = tested.count()
+    total = tested.count() if total is None else total
     limit, last = math.log(rate), None
     while total and limit != last:
         c = tested.filter(F.col("ln_p") <= limit).count()

@@ -139,9 +139,9 @@ def p7_found(spark, sf_dir):
 
 @query("p7_pairs")
 def p7_pairs(spark, sf_dir):
-    """Every pair with its exact count, lift, expectation under the null, tail and verdict."""
+    """Every pair that is together in any image, with its exact count, lift, expectation under the null, tail and verdict."""
     records, n = counted(table(spark, sf_dir, "caption_results"))
-    pairs = together(records.select("id", "term"), n, least=5, least_share="0.002")
+    pairs = together(records.select("id", "term"), n, least=1, least_share="0")
     lift = F.col("both") * F.lit(float(n)) / F.col("n_a") / F.col("n_b")
     return pairs.select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), F.col("both").alias("images"), lift.alias("lift"), "expected", "ln_p", "surprising")
 

@@ -87,3 +87,29 @@ def test_benjamini_hochberg_by_counting(spark):
     ok = np.flatnonzero(order <= 0.05 * np.arange(1, len(p) + 1) / len(p))
     assert df.filter(f"ln_p <= {bh_limit(df, 0.05)}").count() == ok.max() + 1
     assert bh_limit(df.limit(0), 0.05) == math.log(0.05)
+
+
+def test_every_pair_is_counted_and_tested(spark, tmp_path):
+    from lumisift.llm.queries import p7_pairs
+
+    # 3,000 images: "x" and "y" together in 5 of them, below 0.002 N; "once" and "only" in one
+    rows = [(i, i, ["base"] if i % 2 else ["base", "even"], T[0]) for i in range(3000)] + [(5000 + i, 5000 + i, ["x", "y"], T[0]) for i in range(5)] + [(6000, 6000, ["once", "only"], T[0])]
+    captions(spark, rows).write.parquet(str(tmp_path / "caption_results.parquet"))
+    got = {(r.tag_a, r.tag_b): r for r in p7_pairs(spark, str(tmp_path)).collect()}
+    assert {k: r.images for k, r in got.items()} == {("base", "even"): 1500, ("x", "y"): 5, ("once", "only"): 1}
+    assert got["x", "y"].surprising and abs(got["x", "y"].lift - 3006 / 5) < 1e-6
+
+
+def test_number_of_tests_is_that_of_all_two_terms(spark):
+    df = spark.createDataFrame([(math.log(0.01),)], "ln_p double")
+    assert bh_limit(df, 0.05) == math.log(0.05) and bh_limit(df, 0.05, 10) == -math.inf
+
+
+def test_tail_of_one():
+    for mean in (1e-4, 1e-2, 0.3, 0.9):
+        m, q = np.array([1000.0]), np.array([[mean / 1000]])
+        for c in (1, 2, 3):
+            pmf = [math.comb(1000, k) * q[0, 0] ** k * (1 - q[0, 0]) ** (1000 - k) for k in range(40)]
+            want = math.log(sum(pmf[c:]))
+            got = log_tail(q, m, np.array([float(c)]))[0]
+            assert abs(got - want) < 0.02 + 0.02 * abs(want), (mean, c, got, want)

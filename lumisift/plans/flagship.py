@@ -27,5 +27,5 @@ def curate(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = pipeline.Settings(graph_similarity=0.45, core_degree=1, target_size=50, limits=CaptionLimits(threshold=0.40, soft=10, hard=12))
     manifest = pipeline.filter_images(images, vectors, look("watermark_boxes"), look("comic_boxes"), s)["manifest"]
     aliases, closure = cut(taxonomy.alias_closure(P.pairs(spark, P.ALIASES, "src", "dst")), "aliases"), cut(taxonomy.closure(P.pairs(spark, P.EDGES)), "closure")
-    got = pipeline.curate(manifest, P.tags_long(spark, sf_dir), aliases, closure, s)
+    got = pipeline.curate(manifest, P.image_tags(spark, sf_dir), aliases, closure, s)
     return got["selection"].join(got["captions"], "image_id").select("image_id", "rank", "caption")

@@ -67,10 +67,13 @@ def filter_images(images: DataFrame, vectors: DataFrame | None, watermark, comic
 
 
 def curate(manifest: DataFrame, tags: DataFrame, aliases: DataFrame, closure: DataFrame, s: Settings) -> dict[str, DataFrame]:
-    """features, selection (image_id, rank) and captions of the passed items; ``tags`` is (image_id, ord, tag, score)."""
+    """features, selection (image_id, rank) and captions of the passed items; ``tags`` is (image_id, ord, tag, score).
+
+    A passed item without tags takes part with unknown features and the prefix as its caption.
+    """
     passed = manifest.filter("status = 'passed'").select(F.col("id").alias("image_id")).distinct()
     scored = cut(tags.join(passed, "image_id", "left_semi"), "tags")
-    feats = cut(features.derive(scored), "features")
+    feats = cut(features.derive(passed.join(scored, "image_id", "left")), "features")
     chosen = cut(features.select(feats, s.target_size, s.targets), "selection")
     only = lambda df: df.join(chosen.select("image_id"), "image_id", "left_semi")
     captions, audit = tagrules.captions(only(scored), only(feats), aliases, closure, s.prefix, s.limits)

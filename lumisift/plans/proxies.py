@@ -1,6 +1,6 @@
 """Views over the driver's tables that stand in for model output, and the same views as DuckDB SQL.
 
-Scored tags: every document with a vocabulary of 64 words and hashed scores. Boxes: hashed
+Scored tags: every document, or every image, with a vocabulary of 64 words and hashed scores. Boxes: hashed
 from the image id. Events: one job per user. The vocabulary touches every rule group.
 """
 
@@ -24,8 +24,17 @@ BLOCKED = [("leaf", "root")]
 
 
 def tags_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id")))
+
+
+def image_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tagger over the ids of image_records, which are not those of documents."""
+    return _tagged(images(spark, sf_dir).select("image_id"))
+
+
+def _tagged(ids: DataFrame) -> DataFrame:
     words = F.array(*(F.struct(F.lit(i).cast("long").alias("ord"), F.lit(t).alias("tag")) for i, t in enumerate(VOCAB)))
-    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.explode(words).alias("w")).select("image_id", "w.*")
+    t = ids.select("image_id", F.explode(words).alias("w")).select("image_id", "w.*")
     t = t.withColumn("score", F.expr("(image_id * 7919 + ord * 104729 + image_id * ord * 31) % 997") / F.lit(997.0))
     return t.filter("(image_id * 13 + ord * 7) % 5 < 2 AND score >= 0.10D")
 

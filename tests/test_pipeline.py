@@ -1,3 +1,7 @@
+import os
+
+import pytest
+
 from lumisift.operators.tagrules import CaptionLimits
 from lumisift.plans import pipeline
 from lumisift.plans.jobs import Stages
@@ -31,3 +35,25 @@ def test_clusters_graph_retry_and_captions(spark):
     done = pipeline.curate(got["manifest"], tags, empty("src", "dst"), empty("child", "parent"), pipeline.Settings(target_size=5, limits=CaptionLimits()))
     assert {r.image_id: r.caption for r in done["captions"].collect()} == {4: "style, 1girl, solo, smile", 6: "style, outdoors"}
     assert sorted(r["rank"] for r in done["selection"].collect()) == [1, 2]
+
+
+def test_a_passed_image_without_tags_goes_on_as_unknown(spark):
+    manifest = spark.createDataFrame([(1, "passed"), (2, "passed"), (3, "watermark")], "id long, status string")
+    tags = spark.createDataFrame([(1, 0, "1girl", 0.9), (3, 0, "smile", 0.9)], "image_id long, ord long, tag string, score double")
+    empty = lambda a, b: spark.createDataFrame([], f"{a} string, {b} string")
+    done = pipeline.curate(manifest, tags, empty("src", "dst"), empty("child", "parent"), pipeline.Settings(target_size=5))
+    assert {r.image_id: (r.people, r.framing, r.outdoors) for r in done["features"].collect()} == {1: ("1", "unknown", None), 2: ("unknown", "unknown", None)}
+    assert {r.image_id for r in done["selection"].collect()} == {1, 2}
+    assert {r.image_id: r.caption for r in done["captions"].collect()} == {1: "style, 1girl, solo", 2: "style"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_flagship_tags_the_images_it_curates(spark, monkeypatch):
+    from lumisift.plans import flagship
+
+    seen = {}
+    monkeypatch.setattr(flagship.pipeline, "filter_images", lambda images, *_: {"manifest": images})
+    monkeypatch.setattr(flagship.pipeline, "curate", lambda manifest, tags, *_: seen.update(images=manifest, tags=tags) or {"selection": manifest.selectExpr("image_id", "1 AS rank"), "captions": manifest.selectExpr("image_id", "'' AS caption")})
+    flagship.curate(spark, "/root/testdata/sf0.001")
+    ids = {r.image_id for r in seen["images"].collect()}
+    assert ids and {r.image_id for r in seen["tags"].select("image_id").distinct().collect()} == ids

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linkage import complete_linkage
+from ..operators.clusters import link_by_rounds
 from ..storage import cut
 from .groups import components
 from .vectors import SCALE, Forest, classes, exact, forest_map, near_pairs, passes, unpack, usable
@@ -182,43 +183,6 @@ def _large_components(reps, comp, copies, floor, forest) -> DataFrame:
     return label.join(best, "cluster").select(F.col("id").alias("cid"), "medoid_id", "size").union(one)
 
 
-def link_by_rounds(pairs: DataFrame) -> DataFrame:
-    """(id, cluster): complete linkage of (a, b, sim) by rounds of joins, for graphs of any size.
-
-    Pairs not listed are below the threshold. In each round every cluster names its best
-    partner in the same total order as the in-task linkage; two that name each other
-    are joined, and a joined cluster keeps a partner only if all its parts had it. The
-    lowest similarity never rises by joining, so the order of joins elsewhere is free.
-    """
-    edges, label = pairs, None
-    while True:
-        both = edges.select(F.explode(F.array(F.struct("a", "b", "sim"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))).alias("e")).select("e.*")
-        order = F.struct("sim", -F.least("a", "b"), -F.greatest("a", "b"))
-        best = both.groupBy("a").agg(F.max_by("b", order).alias("b"))
-        merge = cut(best.join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).filter("a < b"), "merge")
-        if merge.isEmpty():
-            break
-        to = merge.select(F.col("b").alias("old"), F.col("a").alias("new"))
-        step = merge.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("cluster")), F.struct(F.col("b").alias("id"), F.col("a").alias("cluster")))).alias("m")).select("m.*")
-        if label is None:
-            label = cut(step, "label")
-        else:
-            moved = label.join(to, F.col("cluster") == F.col("old"), "left").select("id", F.coalesce("new", "cluster").alias("cluster"))
-            label = cut(moved.union(step.join(label.select(F.col("cluster").alias("id")), "id", "left_anti").join(label.select("id"), "id", "left_anti")), "label")
-        grown = merge.select(F.col("a").alias("k"))
-        e = edges
-        for side in ("a", "b"):
-            e = e.join(to.select(F.col("old").alias(side), F.col("new").alias(f"new_{side}")), side, "left")
-        for side in ("a", "b"):
-            e = e.join(grown.select(F.col("k").alias(f"x_{side}")), F.coalesce(f"new_{side}", side) == F.col(f"x_{side}"), "left")
-        e = e.select(F.coalesce("new_a", "a").alias("p"), F.coalesce("new_b", "b").alias("q"), "sim", (F.when(F.col("x_a").isNotNull(), 2).otherwise(1) * F.when(F.col("x_b").isNotNull(), 2).otherwise(1)).alias("parts")).filter("p <> q")
-        e = e.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "sim", "parts")
-        edges = cut(e.groupBy("a", "b", "parts").agg(F.min("sim").alias("sim"), F.count("*").alias("n")).filter("n = parts").select("a", "b", "sim"), "edges")
-    if label is None:
-        return pairs.select(F.col("a").alias("id"), F.col("b").alias("cluster")).limit(0)
-    return label
-
-
 def jaccard_pairs(reps: DataFrame, floor: float) -> DataFrame:
     """(a, b), a < b: every pair of (id, items) with a Jaccard similarity of at least ``floor``; exact.
 

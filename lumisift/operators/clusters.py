@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linkage import complete_linkage
+from ..storage import cut
 from .graph import components, cosine_pairs
 from .numbering import numbered
 
@@ -16,15 +17,25 @@ def complete_linkage_clusters(vectors: DataFrame, floor: float, id_col: str = "v
     """(id, cluster_id): complete-linkage clusters cut at cosine ``floor``, numbered from 0 by their first path.
 
     A cluster lies inside one component of the graph of pairs at the floor, so components are
-    linked apart, each in one task. Of one cluster no pair is below the floor. A component of
-    more than ``largest`` records raises; split such collections by an index first. Records whose vector
+    linked apart: one of at most ``largest`` distinct vectors in one task, a larger one by rounds of joins
+    (:func:`link_by_rounds`). Equal vectors are folded into their smallest id first, as they are joined first
+    anyway. Of one cluster no pair is below the floor. Records whose vector
     cannot be compared are singletons; an empty table gives no rows.
     """
-    nodes = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node")).distinct()
-    pairs = cosine_pairs(vectors, floor, id_col, vec_col)
-    comp = components(nodes, pairs).withColumn("ok", F.assert_true(F.col("size") <= largest, F.lit("a component is too large for one task")))
-    inside = pairs.join(comp.select(F.col("node").alias("src"), "component", "ok"), "src")
-    alone = comp.filter("size = 1 AND ok IS NULL").select(F.col("node").alias("id"), F.col("node").alias("first"))
+    ids = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
+    usable = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    usable = usable.filter("id IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x))")
+    size = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    usable = usable.filter(F.size("v") == (size.d if size else 0))
+    # Folded are vectors of cosine 1 with themselves: finite ones that are not all but zero.
+    equal = usable.withColumn("whole", F.forall("v", lambda x: F.abs(x) < 1e150) & F.exists("v", lambda x: F.abs(x) > 1e-12))
+    first = cut(equal.groupBy("v", F.when(~F.col("whole"), F.col("id")).alias("own")).agg(F.min("id").alias("node"), F.collect_set("id").alias("ids")), "equal")
+    of = first.select("node", F.explode("ids").alias("id"))
+    pairs = cut(cosine_pairs(first, floor, "node", "v"), "pairs")
+    nodes = first.select("node").union(ids.join(of, "id", "left_anti").select(F.col("id").alias("node")))
+    comp = cut(components(nodes, pairs), "components")
+    inside = pairs.join(comp.select(F.col("node").alias("src"), "component", F.col("size").alias("n")), "src")
+    alone = comp.filter("size = 1").select(F.col("node").alias("id"), F.col("node").alias("first"))
 
     def link(p: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.r_[p.src, p.dst])
@@ -33,7 +44,12 @@ def complete_linkage_clusters(vectors: DataFrame, floor: float, id_col: str = "v
         s[a, b] = s[b, a] = p["sim"]
         return pd.DataFrame({"id": ids, "first": ids[complete_linkage(s, floor)]})
 
-    linked = inside.filter("ok IS NULL").drop("ok").groupBy("component").applyInPandas(link, "id long, first long").union(alone)
+    linked = inside.filter(F.col("n") <= largest).drop("n").groupBy("component").applyInPandas(link, "id long, first long").union(alone)
+    if not comp.filter(F.col("size") > largest).isEmpty():
+        label = link_by_rounds(cut(inside.filter(F.col("n") > largest).select(F.col("src").alias("a"), F.col("dst").alias("b"), "sim"), "large"))
+        rest = comp.filter(F.col("size") > largest).select(F.col("node").alias("id")).join(label.select("id"), "id", "left_anti")
+        linked = linked.union(label.select("id", "cluster")).union(rest.select("id", F.col("id").alias("first")))
+    linked = linked.withColumnRenamed("id", "node").join(of, "node", "left").select(F.coalesce("id", "node").alias("id"), "first")
     if path_col is None:
         named = linked.withColumn("path", F.lpad(F.col("id").cast("string"), 20, "0"))
     else:
@@ -41,6 +57,43 @@ def complete_linkage_clusters(vectors: DataFrame, floor: float, id_col: str = "v
     return number(named.select("id", "path", F.col("first").alias("group"))).select("id", "cluster_id")
 
 
+def link_by_rounds(pairs: DataFrame) -> DataFrame:
+    """(id, cluster): complete linkage of (a, b, sim) by rounds of joins, for graphs of any size.
+
+    Pairs not listed are below the threshold. In each round every cluster names its best
+    partner in the same total order as the in-task linkage; two that name each other
+    are joined, and a joined cluster keeps a partner only if all its parts had it. The
+    lowest similarity never rises by joining, so the order of joins elsewhere is free.
+    """
+    edges, label = pairs, None
+    while True:
+        both = edges.select(F.explode(F.array(F.struct("a", "b", "sim"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))).alias("e")).select("e.*")
+        order = F.struct("sim", -F.least("a", "b"), -F.greatest("a", "b"))
+        best = both.groupBy("a").agg(F.max_by("b", order).alias("b"))
+        merge = cut(best.join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).filter("a < b"), "merge")
+        if merge.isEmpty():
+            break
+        to = merge.select(F.col("b").alias("old"), F.col("a").alias("new"))
+        step = merge.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("cluster")), F.struct(F.col("b").alias("id"), F.col("a").alias("cluster")))).alias("m")).select("m.*")
+        if label is None:
+            label = cut(step, "label")
+        else:
+            moved = label.join(to, F.col("cluster") == F.col("old"), "left").select("id", F.coalesce("new", "cluster").alias("cluster"))
+            label = cut(moved.union(step.join(label.select(F.col("cluster").alias("id")), "id", "left_anti").join(label.select("id"), "id", "left_anti")), "label")
+        grown = merge.select(F.col("a").alias("k"))
+        e = edges
+        for side in ("a", "b"):
+            e = e.join(to.select(F.col("old").alias(side), F.col("new").alias(f"new_{side}")), side, "left")
+        for side in ("a", "b"):
+            e = e.join(grown.select(F.col("k").alias(f"x_{side}")), F.coalesce(f"new_{side}", side) == F.col(f"x_{side}"), "left")
+        e = e.select(F.coalesce("new_a", "a").alias("p"), F.coalesce("new_b", "b").alias("q"), "sim", (F.when(F.col("x_a").isNotNull(), 2).otherwise(1) * F.when(F.col("x_b").isNotNull(), 2).otherwise(1)).alias("parts")).filter("p <> q")
+        e = e.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "sim", "parts")
+        edges = cut(e.groupBy("a", "b", "parts").agg(F.min("sim").alias("sim"), F.count("*").alias("n")).filter("n = parts").select("a", "b", "sim"), "edges")
+    if label is None:
+        return pairs.select(F.col("a").alias("id"), F.col("b").alias("cluster")).limit(0)
+    return label
+
+
 def number(members: DataFrame) -> DataFrame:
     """Adds cluster_id to (id, path, group): 0, 1, 2 ... by the first path of each group.
 

@@ -90,3 +90,19 @@ def test_clusters_medoid_and_audit(spark):
     assert (a[0]["size"], round(a[0].min_similarity, 6), a[1].min_similarity) == (2, 0.8, 1.0)
     assert [(m.id, m.role) for m in a[0].members] == [(0, "medoid"), (1, "member")]
     assert clusters.singletons(v, "vec_id").count() == 3
+
+
+def test_components_over_the_bound_are_linked_too(spark):
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.standard_normal((30, 3)), np.tile([[1.0, 2.0, 3.0]], (20, 1)), np.zeros((3, 3))]  # copies, and zeros that equal nothing
+    v = vectors(spark, [*x.tolist(), [1, 2], [1, 2], None])
+    u = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    want = {tuple(g) for g in naive_linkage(np.round(u @ u.T, 9).tolist(), 0.6)} | {(53,), (54,), (55,)}
+
+    def found(largest):
+        groups = {}
+        for r in clusters.complete_linkage_clusters(v, 0.6, largest=largest).collect():
+            groups.setdefault(r.cluster_id, []).append(r.id)
+        return {tuple(sorted(g)) for g in groups.values()}
+
+    assert found(3) == want == found(8000) and max(map(len, want)) >= 20

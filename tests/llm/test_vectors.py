@@ -125,3 +125,10 @@ def test_set_pairs_against_brute_force(spark, floor):
     want = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= floor * len(sets[a] | sets[b])}
     df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, items array<string>")
     assert {(r.a, r.b) for r in C.jaccard_pairs(df, floor).collect()} == want and len(want) > 5
+
+
+def test_pairs_exactly_at_the_floor_are_found(spark):
+    # 100 pairs of Jaccard 0.5; 40 bands of 4 hashes find 92 of 100 on average
+    sets = [(2 * k + s, [f"c{k}_{j}" for j in range(6)] + [f"{'ab'[s]}{k}_{j}" for j in range(3)]) for k in range(100) for s in (0, 1)]
+    got = {tuple(r) for r in C.set_clusters(spark.createDataFrame(sets, "id long, items array<string>"), 0.5).collect()}
+    assert got == {(2 * k + s, 2 * k, 2) for k in range(100) for s in (0, 1)}

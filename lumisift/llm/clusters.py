@@ -97,6 +97,7 @@ def similar_clusters(df: DataFrame, id_col: str, vec_col: str, floor: float = 0.
     repeated rows and empty tables give no rows; copies share a cluster.
     """
     reps, members = classes(usable(df, id_col, vec_col, forest.dim))
+    forest = forest.grown(reps.count())
     links = [cut(forest_map(reps, forest, t, _link_kernel(floor), "a long, b long").distinct(), "links") for t in passes(forest)]
     comp = cut(components(reduce(DataFrame.union, links)), "components")
     copies = members.groupBy("cid").agg(F.count("*").alias("copies"))

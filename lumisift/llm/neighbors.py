@@ -43,6 +43,7 @@ def neighbors(df: DataFrame, id_col: str, vec_col: str, k: int = 10, floor: floa
     it reports is exact.
     """
     reps, members = classes(usable(df, id_col, vec_col, forest.dim))
+    forest = forest.grown(reps.count())
     found = [cut(forest_map(reps, forest, t, _topk_kernel(k, floor), "a long, b long, sim int").distinct(), "near") for t in passes(forest)]
     pairs = reduce(DataFrame.union, found).distinct()
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("other"), "sim"), F.struct(F.col("b").alias("cid"), F.col("a").alias("other"), "sim"))).alias("p")).select("p.*")

@@ -8,7 +8,8 @@ smallest id, so that a third of all rows being copies costs nothing in the searc
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,14 @@ class Forest:
     trees_per_pass: int = 3
     seed: int = 20
 
+    def grown(self, n: int) -> Forest:
+        """The forest for ``n`` vectors: twice the trees for each letter after the first that a leaf's members must share.
+
+        Letters are uneven, so a leaf counts as full at half its bound.
+        """
+        letters = math.ceil(math.log(max(2 * n / self.leaf, 1)) / math.log(2 * min(self.letter_dims, self.dim)))
+        return replace(self, trees=self.trees * 2 ** (max(letters, 1) - 1))
+
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int = 64) -> DataFrame:
     """(id, vec) with vec as little-endian float32 bytes; one row per id with a usable vector."""

@@ -132,3 +132,19 @@ def test_pairs_exactly_at_the_floor_are_found(spark):
     sets = [(2 * k + s, [f"c{k}_{j}" for j in range(6)] + [f"{'ab'[s]}{k}_{j}" for j in range(3)]) for k in range(100) for s in (0, 1)]
     got = {tuple(r) for r in C.set_clusters(spark.createDataFrame(sets, "id long, items array<string>"), 0.5).collect()}
     assert got == {(2 * k + s, 2 * k, 2) for k in range(100) for s in (0, 1)}
+
+
+def test_trees_grow_with_the_letters_of_a_leaf(spark, monkeypatch):
+    from lumisift.llm import neighbors as N
+
+    f = Forest()
+    assert [f.grown(n).trees for n in (0, 1, 100_000, 1_000_000, 100_000_000)] == [9, 9, 9, 18, 36]
+    seen = []
+    real = N.forest_map
+    monkeypatch.setattr(N, "forest_map", lambda reps, f, *a: seen.append(f.trees) or real(reps, f, *a))
+    small = Forest(trees=3, leaf=8, least=2, symbols=4, letter_dims=8, trees_per_pass=6)  # 16 letters
+    N.neighbors(table(spark, planted(groups=10, size=3)), "image_id", "embedding", forest=small)
+    assert seen == [3]
+    seen.clear()
+    N.neighbors(table(spark, planted(groups=60, size=3)), "image_id", "embedding", forest=small)
+    assert seen == [6]

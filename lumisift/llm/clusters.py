@@ -3,7 +3,7 @@
 Two forms share one plan: shared keys give candidate pairs, an exact similarity
 verifies them, connected components join them, and loose components are split.
 
-* Vectors: the bands are the hash-prefix forest's leaves (a MinHash of a dense vector
+* Vectors: candidates come from the hash-prefix forest (a MinHash of a dense vector
   has no meaning), the similarity is the cosine, and a component is split by complete
   linkage, which is what the cluster definition of this project asks for.
 * Sets: keys of rare items that no pair at the floor escapes (in place of MinHash bands, which
@@ -24,7 +24,7 @@ from ..functions.linkage import complete_linkage
 from ..operators.clusters import link_by_rounds
 from ..storage import cut
 from .groups import components
-from .vectors import SCALE, Forest, classes, exact, forest_map, near_pairs, passes, unpack, usable
+from .vectors import SCALE, Bucket, Forest, borders, classes, forest_map, passes, unpack, usable
 
 
 def _roots(n: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -42,26 +42,32 @@ def _roots(n: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _link_kernel(floor: float):
-    """A star per component of a leaf, instead of all its pairs."""
+    """A star per component of a bucket, instead of all its pairs."""
     least = round(floor * SCALE)
 
-    def kernel(ids, x):
-        rs, cs = [], []
-        for r, c, v in near_pairs(x, floor):
-            up = r < c
-            r, c, v = r[up], c[up], v[up]
-            near = v < floor + 3e-6
-            if near.any():
-                ok = ~near
-                ok[near] = exact(x, r[near], c[near]) >= least
-                r, c = r[ok], c[ok]
-            rs.append(r)
-            cs.append(c)
-        r, c = np.concatenate(rs), np.concatenate(cs)
-        if len(r):
-            root = _roots(len(ids), r, c)
-            of = np.flatnonzero(root != np.arange(len(ids)))
-            yield ids[root[of]], ids[of]
+    def kernel(b: Bucket):
+        root, rs, cs, n = np.arange(len(b.ids)), [], [], 0
+
+        def joined():
+            r, c = root[np.concatenate(rs)], root[np.concatenate(cs)]
+            return _roots(len(root), r, c)[root]
+
+        for q, m in b.meetings():
+            r, c = np.nonzero(b.u[q] @ b.u[m].T >= np.float32(floor - 3e-6))
+            r, c = q[r], m[c]
+            new = root[r] != root[c]
+            r, c = r[new], c[new]
+            ok = b.exact(r, c) >= least
+            rs.append(r[ok])
+            cs.append(c[ok])
+            n += int(ok.sum())
+            if n > 4 * len(root):
+                root, rs, cs, n = joined(), [], [], 0
+        if n:
+            root = joined()
+        of = np.flatnonzero(root != np.arange(len(root)))
+        if len(of):
+            yield b.ids[root[of]], b.ids[of]
 
     return kernel
 
@@ -96,9 +102,10 @@ def similar_clusters(df: DataFrame, id_col: str, vec_col: str, floor: float = 0.
     over their pairs (:func:`link_by_rounds`) instead of in one task. Ids without a usable vector,
     repeated rows and empty tables give no rows; copies share a cluster.
     """
-    reps, members = classes(usable(df, id_col, vec_col, forest.dim))
-    forest = forest.grown(reps.count())
-    links = [cut(forest_map(reps, forest, t, _link_kernel(floor), "a long, b long").distinct(), "links") for t in passes(forest)]
+    reps, members, n = classes(usable(df, id_col, vec_col, forest.dim))
+    forest = forest.sized(n)
+    tries = borders(reps, forest, n)
+    links = [cut(forest_map(reps, forest, t, _link_kernel(floor), "a long, b long").distinct(), "links") for t in passes(forest, tries)]
     comp = cut(components(reduce(DataFrame.union, links)), "components")
     copies = members.groupBy("cid").agg(F.count("*").alias("copies"))
     size = comp.groupBy("group_id").agg(F.count("*").alias("n"))

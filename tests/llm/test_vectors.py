@@ -1,11 +1,13 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumisift.llm import clusters as C
+from lumisift.llm import vectors as V
 from lumisift.llm.neighbors import neighbors
 from lumisift.llm.vectors import Forest, usable
 
-SMALL = Forest(trees=6, leaf=64, least=16, trees_per_pass=6, symbols=4, letter_dims=8)
+SMALL = Forest(trees=6, bucket=64, leaf=8, axes=8, letters=6, trees_per_pass=6)
 
 
 def table(spark, rows):
@@ -134,17 +136,52 @@ def test_pairs_exactly_at_the_floor_are_found(spark):
     assert got == {(2 * k + s, 2 * k, 2) for k in range(100) for s in (0, 1)}
 
 
-def test_trees_grow_with_the_letters_of_a_leaf(spark, monkeypatch):
-    from lumisift.llm import neighbors as N
-
+def test_trees_grow_with_the_letters_of_a_bucket():
     f = Forest()
-    assert [f.grown(n).trees for n in (0, 1, 100_000, 1_000_000, 100_000_000)] == [9, 9, 9, 18, 36]
-    seen = []
-    real = N.forest_map
-    monkeypatch.setattr(N, "forest_map", lambda reps, f, *a: seen.append(f.trees) or real(reps, f, *a))
-    small = Forest(trees=3, leaf=8, least=2, symbols=4, letter_dims=8, trees_per_pass=6)  # 16 letters
-    N.neighbors(table(spark, planted(groups=10, size=3)), "image_id", "embedding", forest=small)
-    assert seen == [3]
-    seen.clear()
-    N.neighbors(table(spark, planted(groups=60, size=3)), "image_id", "embedding", forest=small)
-    assert seen == [6]
+    assert [f.sized(n).trees for n in (0, 1, 1_000_000, 61_000_000)] == [9, 9, 9, 18]
+
+
+@pytest.mark.parametrize("bucket, letters", [(1024, 1), (128, 2), (16, 3)])
+def test_recall_with_several_letters_in_use(spark, bucket, letters):
+    # 16 letters; buckets so small that their strings differ in one, two or three of them
+    rows = planted(seed=21, groups=1000, size=4, noise=0.05)
+    f = Forest(bucket=bucket, leaf=max(bucket // 8, 4), axes=8, letters=6, trees_per_pass=30)
+    assert 16 ** (letters - 1) < len(rows) / bucket * 4 <= 16**letters
+    got = {(r.id, r.other, r.sim) for r in neighbors(table(spark, rows), "image_id", "embedding", 10, 0.82, f).collect()}
+    want = naive_neighbors(rows, 10, 0.82)
+    assert len(want & got) >= 0.9 * len(want) and len(got - want) == 0
+
+
+def cone(n, spread=0.02, seed=6):
+    rng = np.random.default_rng(seed)
+    c = rng.standard_normal(64)
+    return np.float32(c / np.linalg.norm(c) + spread * rng.standard_normal((n, 64)))
+
+
+def test_a_dense_cone_is_cut_into_bounded_buckets_and_leaves():
+    f = Forest(bucket=16_384)
+    x = cone(100_000)
+    u = V.unit(x)
+    trie, label, n = V.grow(u[::4], f, 0, f.bucket / 4)
+    assert np.bincount(trie.route(u)).max() < 1.5 * f.bucket and (trie.route(u[::4]) == label).all() and trie.deeper
+    b = V.Bucket(f, 0, np.arange(16_384), V.encode(u[:16_384], f, V._rotations(f, 0, 0)), x[:16_384])
+    sizes = [(len(q), len(m)) for q, m in b.meetings()]
+    assert max(m for _, m in sizes) <= f.leaf and sum(m for _, m in sizes) == 16_384 and sum(q for q, _ in sizes) == 16_384 * 7
+    assert max(len(m) for _, m in V.Bucket(f, 0, np.arange(5000), np.zeros(5000, dtype=np.int64), np.ones((5000, 64), dtype=np.float32)).meetings()) <= f.leaf
+
+
+def test_a_dense_cone_of_100_000_is_searched_and_linked(spark):
+    x = cone(100_000)
+    raw = spark.createDataFrame(pa.table({"image_id": np.arange(100_000), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    f = Forest(trees=1, bucket=16_384)
+    near = neighbors(raw, "image_id", "embedding", 3, 0.82, f)
+    assert near.count() == 300_000
+    reps, _, n = V.classes(usable(raw, "image_id", "embedding"))
+    stars = V.forest_map(reps, f, V.borders(reps, f, n), C._link_kernel(0.9), "a long, b long")
+    assert stars.count() >= 100_000 - 8
+
+
+def test_leaves_do_not_depend_on_arrival(spark):
+    rows = planted(seed=3, groups=120, size=4)
+    got = [{tuple(r) for r in neighbors(table(spark, r).repartition(n), "image_id", "embedding", 5, 0.82, SMALL).collect()} for r, n in ((rows, 1), (rows[::-1], 7))]
+    assert got[0] == got[1]

@@ -47,7 +47,7 @@ class Forest:
     leaf: int = 512
     ascent: int = 6
     trees_per_pass: int = 3
-    sample: int = 50_000
+    sample: int = 8192
     seed: int = 20
 
     def sized(self, n: int) -> Forest:

@@ -39,7 +39,7 @@ def filter_images(images: DataFrame, vectors: DataFrame | None, watermark, comic
     """
     stages = s.stages.effective()
     stats = scan.scan_stats(images, s.minimum_pixels if stages.resolution_filter else 0, stages.deduplicate)
-    kept = scan.first_copies(images, stages.deduplicate).filter("copy = 1").drop("copy")
+    kept = scan.deduplicated(images, stages.deduplicate)
     if stages.resolution_filter:
         kept = scan.large_enough(kept, s.minimum_pixels)
     kept = cut(kept, "images")

@@ -93,7 +93,7 @@ def scan_stats(spark, sf_dir):
     return scan.scan_stats(P.images(spark, sf_dir), 1_000_000)
 
 
-@query("extension_filter", "WITH " + P.IMAGES_SQL + r" SELECT image_id, path FROM images WHERE lower(regexp_extract(path, '\.([^./]+)$', 1)) IN ('jpg', 'jpeg', 'png')")
+@query("extension_filter", "WITH " + P.IMAGES_SQL + r" SELECT image_id, path FROM images WHERE lower(regexp_extract(path, '[^/]\.([^./]+)$', 1)) IN ('jpg', 'jpeg', 'png')")
 def extension_filter(spark, sf_dir):
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return P.images(spark, sf_dir).filter(scan.is_image(F.col("path")) & suffix.isin("jpg", "jpeg", "png")).select("image_id", "path")

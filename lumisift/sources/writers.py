@@ -6,7 +6,7 @@ import json
 import os
 import shutil
 import tempfile
-from datetime import datetime
+from datetime import date
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
@@ -14,24 +14,18 @@ from pyspark.sql import functions as F
 
 from ..operators.review import file_name
 
+#: How values that JSON does not know are written.
+_FORMS = (((set, frozenset), lambda v: sorted(v, key=str)), (date, lambda v: v.isoformat()), (os.PathLike, os.fspath))
 
-def plain(value):
-    """A value as JSON knows it: rows and maps to objects with text keys, times to ISO form, sets sorted."""
-    if hasattr(value, "asDict"):
-        value = value.asDict(recursive=False)
-    if isinstance(value, dict):
-        return {str(k): plain(v) for k, v in value.items()}
-    if isinstance(value, (set, frozenset)):
-        return sorted((plain(v) for v in value), key=str)
-    if isinstance(value, (list, tuple)):
-        return [plain(v) for v in value]
-    if isinstance(value, datetime):
-        return value.isoformat()
-    if isinstance(value, Path):
-        return str(value)
-    if hasattr(value, "tolist"):
-        return plain(value.tolist())
-    return value
+
+def json_value(value):
+    """The encoder's hook: sets sorted, times in ISO form, paths as text, numpy values as their plain ones."""
+    for kind, form in _FORMS:
+        if isinstance(value, kind):
+            return form(value)
+    if callable(getattr(value, "tolist", None)):
+        return value.tolist()
+    raise TypeError(f"not JSON: {type(value)}")
 
 
 def write_json(path: str | Path, value) -> None:
@@ -41,7 +35,28 @@ def write_json(path: str | Path, value) -> None:
     fd, part = tempfile.mkstemp(dir=path.parent, prefix=path.name, suffix=".part")
     try:
         with os.fdopen(fd, "w", encoding="utf-8") as f:
-            json.dump(plain(value), f, ensure_ascii=False, indent=2)
+            json.dump(value, f, default=json_value, ensure_ascii=False, indent=2)
+        os.replace(part, path)
+    except BaseException:
+        Path(part).unlink(missing_ok=True)
+        raise
+
+
+def write_listing(rows: DataFrame, path: str | Path, key: str, head: dict) -> None:
+    """One JSON object of ``head`` and, under ``key``, all rows in their order, one to a line.
+
+    Spark writes the rows as texts; they come to the driver a partition at a time and go straight to the file.
+    """
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    text = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("t"))
+    fd, part = tempfile.mkstemp(dir=path.parent, prefix=path.name, suffix=".part")
+    try:
+        with os.fdopen(fd, "w", encoding="utf-8") as f:
+            f.write(json.dumps(head, default=json_value, ensure_ascii=False)[:-1] + (", " if head else "") + json.dumps(key) + ": [")
+            for k, r in enumerate(text.toLocalIterator()):
+                f.write((",\n" if k else "\n") + r.t)
+            f.write("\n]}\n")
         os.replace(part, path)
     except BaseException:
         Path(part).unlink(missing_ok=True)
@@ -82,11 +97,8 @@ def write_output(manifest: DataFrame, job_id: str, folder: str) -> dict:
     """Copies of the passed images and manifest.json; ``manifest`` is (index, source, cluster_id, candidate_role, locate_attempt, status, reason)."""
     named = output_names(manifest).withColumn("output", F.when(F.col("name").isNotNull(), F.concat(F.lit(folder.rstrip("/") + "/"), "name"))).drop("name")
     n = copy_files(named.filter("output IS NOT NULL").select("source", F.col("output").alias("target")))
-    items = [r.asDict() for r in named.orderBy("index").toLocalIterator()]
-    for item in items:
-        item.pop("index")
     path = Path(folder) / "manifest.json"
-    write_json(path, {"job_id": job_id, "items": items})
+    write_listing(named.orderBy("index").drop("index"), path, "items", {"job_id": job_id})
     return {"output_images": n, "output_dir": folder, "manifest_path": str(path)}
 
 
@@ -128,65 +140,72 @@ def write_training_set(chosen: DataFrame, report: dict, folder: str) -> str:
 
 
 class Review:
-    """Removal and restoration of single images of a finished output folder, with its manifest kept in step."""
+    """Review of a finished output folder: an append-only log of actions on its items.
+
+    ``base`` is the manifest as it was written; what holds now follows from the log alone. A file's place is a function of its item's state,
+    so an action moves the files whose place differs before and after it, and a failure to save moves them back.
+    """
 
-    def __init__(self, folder: str, items: list[dict], save=None):
-        self.folder, self.items, self.locked = Path(folder).resolve(), items, False
+    def __init__(self, folder: str, base: list[dict], log=(), save=None):
+        self.folder, self.base, self.log, self.locked = Path(folder).resolve(), tuple(base), tuple(log), False
         self.hidden = self.folder.parent / f".{self.folder.name}_removed"
-        self.save = save or (lambda: write_json(self.folder / "manifest.json", {"items": self.items}))
+        self.save = save or (lambda items: write_json(self.folder / "manifest.json", {"items": items}))
+
+    @property
+    def items(self) -> list[dict]:
+        return self._state(self.log)
 
     @property
     def output_images(self) -> int:
         return sum(i["status"] == "passed" and bool(i.get("output")) for i in self.items)
 
-    def _item(self, k: int, status: str) -> dict:
+    def _state(self, log) -> list[dict]:
+        last = {k: (action, at) for k, action, at in log}
+        gone = lambda k, item: {
+            **item, "output": None, "status": "removed_by_review", "reason": "removed_by_review",
+            "review_original_output": item["output"], "review_removed_path": str(self._place(k, True)), "review_removed_at": last[k][1]}
+        return [gone(k, item) if last.get(k, ("",))[0] == "remove" else dict(item) for k, item in enumerate(self.base)]
+
+    def _place(self, k: int, removed: bool) -> Path:
+        own = Path(self.base[k]["output"])
+        return self.hidden / f"{k:05d}" / own.name if removed else own
+
+    def _moved(self, k: int, action: str) -> None:
+        """The file of item k to where ``action`` puts it."""
+        here, there = (self._place(k, removed) for removed in ((action == "restore"), (action == "remove")))
+        here, there = (inside(p, self.hidden if self.hidden in p.parents else self.folder) for p in (here, there))
+        if not here.is_file():
+            raise FileNotFoundError(here)
+        if there.exists():
+            raise FileExistsError(there)
+        there.parent.mkdir(parents=True, exist_ok=True)
+        shutil.move(here, there)
+        for empty in (self.hidden / f"{k:05d}", self.hidden):
+            if empty.is_dir() and not any(empty.iterdir()):
+                empty.rmdir()
+
+    def act(self, k: int, action: str, at: str = "") -> dict:
+        """Append ``remove`` or ``restore`` of item k; it must be possible now, and holds only once it is saved."""
+        back = {"remove": "restore", "restore": "remove"}[action]
         if self.locked:
             raise ValueError("review is closed")
-        if not 0 <= k < len(self.items):
+        now = self.items[k] if 0 <= k < len(self.base) else None
+        if now is None:
             raise IndexError(k)
-        if self.items[k].get("status") != status:
-            raise ValueError(f"item {k} is {self.items[k].get('status')}")
-        return self.items[k]
-
-    def _move(self, item: dict, source: Path, target: Path, change: dict, drop=()):
-        old = dict(item)
-        target.parent.mkdir(parents=True, exist_ok=True)
-        shutil.move(source, target)
-        item.update(change)
-        for k in drop:
-            item.pop(k, None)
+        if now["status"] != {"remove": "passed", "restore": "removed_by_review"}[action] or not self.base[k].get("output"):
+            raise ValueError(f"item {k} is {now['status']}")
+        log = (*self.log, (k, action, at))
+        self._moved(k, action)
         try:
-            self.save()
-        except Exception:
-            shutil.move(target, source)
-            item.clear()
-            item.update(old)
+            self.save(self._state(log))
+        except BaseException:
+            self._moved(k, back)
             raise
+        self.log = log
+        return self.items[k]
 
     def remove(self, k: int, at: str = "") -> dict:
-        item = self._item(k, "passed")
-        if not item.get("output"):
-            raise ValueError(f"item {k} has no output")
-        source = inside(item["output"], self.folder)
-        if not source.is_file():
-            raise FileNotFoundError(source)
-        target, n = self.hidden / source.name, 0
-        while target.exists():
-            n += 1
-            target = self.hidden / f"{k:05d}_{n:02d}_{source.name}"
-        self._move(item, source, target, dict(output=None, status="removed_by_review", reason="removed_by_review", review_original_output=str(source), review_removed_path=str(target), review_removed_at=at))
-        return item
-
-    def restore(self, k: int) -> dict:
-        item = self._item(k, "removed_by_review")
-        source, target = inside(item["review_removed_path"], self.hidden), inside(item["review_original_output"], self.folder)
-        if not source.is_file():
-            raise FileNotFoundError(source)
-        if target.exists():
-            raise FileExistsError(target)
-        self._move(item, source, target, dict(output=str(target), status="passed", reason=None), ("review_original_output", "review_removed_path", "review_removed_at"))
-        try:
-            self.hidden.rmdir()
-        except OSError:
-            pass
-        return item
+        return self.act(k, "remove", at)
+
+    def restore(self, k: int, at: str = "") -> dict:
+        return self.act(k, "restore", at)

@@ -83,31 +83,48 @@ def test_review_files(tmp_path):
     folder = tmp_path / "out"
     folder.mkdir()
     (folder / "1.png").write_text("x")
-    items = [{"status": "passed", "output": str(folder / "1.png"), "reason": None}, {"status": "passed", "output": str(tmp_path / "else.png"), "reason": None}]
+    items = [{"status": "passed", "output": str(folder / "1.png"), "reason": None}, {"status": "passed", "output": str(tmp_path / "else.png"), "reason": None}, {"status": "not_meet", "output": None, "reason": "x"}]
     review = W.Review(str(folder), items)
-    review.remove(0)
-    assert not (folder / "1.png").exists() and review.output_images == 1 and items[0]["status"] == "removed_by_review"
+    got = review.remove(0, "monday")
+    assert not (folder / "1.png").exists() and review.output_images == 1 and review.items[0] == got
+    assert got == {"status": "removed_by_review", "output": None, "reason": "removed_by_review", "review_original_output": str(folder / "1.png"), "review_removed_path": str(review.hidden / "00000/1.png"), "review_removed_at": "monday"}
+    assert json.loads((folder / "manifest.json").read_text())["items"][0] == got and Path(got["review_removed_path"]).read_text() == "x"
     (folder / "1.png").write_text("new")
     with pytest.raises(FileExistsError):
         review.restore(0)
+    with pytest.raises(ValueError):
+        review.remove(0)
     (folder / "1.png").unlink()
+    again = W.Review(str(folder), items, review.log)  # the log alone tells the state
+    assert again.items == review.items
     review.restore(0)
-    assert (folder / "1.png").read_text() == "x" and items[0] == {"status": "passed", "output": str(folder / "1.png"), "reason": None} and not review.hidden.exists()
-    with pytest.raises(PermissionError):
-        review.remove(1)
+    assert (folder / "1.png").read_text() == "x" and review.items == items and not review.hidden.exists() and len(review.log) == 2
+    for k, error in ((1, PermissionError), (2, ValueError), (3, IndexError), (-1, IndexError)):
+        with pytest.raises(error):
+            review.remove(k)
 
-    def fail():
+    def fail(_):
         raise OSError("disk")
 
     review.save = fail
     with pytest.raises(OSError):
         review.remove(0)
-    assert (folder / "1.png").exists() and items[0]["status"] == "passed"
+    assert (folder / "1.png").exists() and review.items == items and len(review.log) == 2
     review.locked = True
     with pytest.raises(ValueError):
         review.remove(0)
 
 
+def test_json_values(tmp_path):
+    import numpy as np
+
+    W.write_json(tmp_path / "a" / "x.json", {"s": {3, 1}, "p": tmp_path, "t": T, "n": np.float32(0.5), "a": np.arange(2), "k": {1: (1, 2)}})
+    assert json.loads((tmp_path / "a/x.json").read_text()) == {"s": [1, 3], "p": str(tmp_path), "t": T.isoformat(), "n": 0.5, "a": [0, 1], "k": {"1": [1, 2]}}
+    with pytest.raises(TypeError):
+        W.write_json(tmp_path / "a" / "y.json", object())
+    assert [p.name for p in (tmp_path / "a").iterdir()] == ["x.json"]
+
+
 def test_requests():
     assert J.Stages(embedding=False, locate=False).effective() == J.Stages(embedding=False, clustering=False, graph=False, locate=False, retry=False)
     assert J.Stages(clustering=False).effective().graph

@@ -436,12 +436,11 @@ def blocked_closure(spark, sf_dir):
     return taxonomy.load_v2(P.pairs(spark, P.EDGES), P.pairs(spark, P.BLOCKED), P.pairs(spark, P.ALIASES, "src", "dst"))
 
 
-@query("relation_counts", "WITH RECURSIVE " + P.CLOSURE_SQL + " SELECT (SELECT count(*) FROM edges) AS direct, (SELECT count(*) FROM closure) - 1 AS runtime, 1 AS blocked")
+@query("relation_counts", "WITH RECURSIVE " + P.CLOSURE_SQL + " SELECT (SELECT count(*) FROM edges) AS direct, (SELECT count(*) FROM closure c WHERE NOT (c.child = 'leaf' AND c.parent = 'root')) AS runtime, CAST(1 AS BIGINT) AS blocked")
 def relation_counts(spark, sf_dir):
     d, b = P.pairs(spark, P.EDGES), P.pairs(spark, P.BLOCKED)
     run = taxonomy.load_v2(d, b, P.pairs(spark, P.ALIASES, "src", "dst"))
-    rows = d.select(F.lit("d").alias("k")).union(run.select(F.lit("r"))).union(b.select(F.lit("b")))
-    return rows.agg(F.count_if(F.col("k") == "d").alias("direct"), F.count_if(F.col("k") == "r").alias("runtime"), F.count_if(F.col("k") == "b").cast("int").alias("blocked"))
+    return taxonomy.relation_counts(d, run, b)
 
 
 @query("redundant_parents", "WITH RECURSIVE " + P.CLOSURE_SQL + ", " + P.TAGS_SQL + ", " + P.ALIAS_SQL + f""",

@@ -61,4 +61,4 @@ def test_providers(spark):
     assert pixels_of([[[0.0, 1.0]], [[0.5, 0.2]], [[1.0, 2.0]]]).shape == (1, 2, 3)
     tags = spark.createDataFrame([(1, {"b": 0.5, "a": 0.5, "c": 0.09})], "id long, tags map<string,double>")
     assert [(r.ord, r.tag) for r in stored_tags(tags).orderBy("ord").collect()] == [(0, "a"), (1, "b")]
-    assert V.prompt(V.WATERMARK_PHRASES).count("</c>") == 5 and V.prompt(V.COMIC_PHRASES).count("</c>") == 3
+    assert V.WATERMARK_PROMPT.count("</c>") == 5 and V.COMIC_PROMPT.count("</c>") == 3

@@ -1,12 +1,10 @@
 """Parent-child links to full hierarchies: ancestors, cycles, and every path from the top.
 
-Both operators contract: the links are spread over fragments of bounded size, each
-fragment follows its own links in one task up to the parents outside it (its exits),
-the links between exits form a smaller quotient that is solved the same way, and
-the fragments' results are then expanded by joins. A cycle is seen in a fragment that holds
-all of it, or in the quotient in which its fragments' exits meet. Where a quotient does not
-shrink, path doubling by joins takes over, so that the depth of the links never becomes
-the number of jobs.
+Both operators contract. Links are put into fragments of bounded size that hold whole stretches of parent
+chains (:func:`fragments`); each fragment follows its own links in one task up to the parents outside it (its
+exits); the links between exits form a smaller quotient that is solved the same way; and the fragments' results
+are expanded by joins. A cycle is seen in a fragment that holds all of it, or in the quotient in which its
+fragments' exits meet.
 """
 
 from __future__ import annotations
@@ -20,7 +18,9 @@ from pyspark.sql import functions as F
 from ..functions.text import tag_form
 from ..storage import cut
 
-FRAGMENT = 50_000  # links a task follows by itself
+FRAGMENT = 4096  # links a task follows by itself
+STRETCH = 6  # one in so many nodes begins a stretch of a chain
+JUMPS = 4  # doublings of the pointers that look for the beginning: 16 links
 
 
 def links_of(df: DataFrame, child: str, parents: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -103,12 +103,39 @@ def _local_ancestors(p: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "anc", "exit"])
 
 
-def ancestors(links: DataFrame, fragment: int = FRAGMENT, level: int = 0) -> DataFrame:
-    """(node, anc): every ancestor of every node of distinct, non-null (child, parent); a node is its own exactly if it is on a cycle."""
+def fragments(links: DataFrame, fragment: int, level: int, most: int | None = None) -> tuple[DataFrame, int]:
+    """(links with ``part`` and ``own``, parts): fragments of about ``fragment`` of the distinct (child, parent, ...).
+
+    A link belongs to its child's fragment and is ``own`` if the parent lies there too. A hash marks one node in ``STRETCH``; each node
+    is put with the nearest marked node on its chain of first parents, which a few pointer doublings find. Stretches of long chains
+    thus lie in one fragment. What hangs on one node in greater number (a hub's leaves) is spread by hash. Rows with a null parent are kept, not own.
+    At most ``most`` fragments: each level of contraction has at most half of the one before, so that links which do
+    not become fewer are met by larger fragments, not by more levels.
+    """
     n = links.count()
     parts = max(1, -(-n // fragment))
-    spot = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(parts))
-    tagged = links.select("child", "parent", spot("child").alias("part"), (spot("child") == spot("parent")).alias("own"))
+    parts = parts if most is None else max(1, min(parts, most))
+    inner = F.col("parent").isNotNull()
+    if parts == 1:
+        return links.withColumns({"part": F.lit(0), "own": inner}), 1
+    first = links.filter(inner).groupBy("child").agg(F.min("parent").alias("to"), F.count("*").alias("n"))
+    begins = F.pmod(F.xxhash64("child", F.lit(level)), F.lit(STRETCH)) == 0
+    at = cut(first.select(F.col("child").alias("node"), F.when(begins, F.col("child")).otherwise(F.col("to")).alias("at"), "n"), "chains")
+    for _ in range(JUMPS):
+        further = at.select(F.col("node").alias("at"), F.col("at").alias("next"))
+        at = cut(at.join(further, "at", "left").select("node", F.coalesce("next", "at").alias("at"), "n"), "chains")
+    pieces = at.groupBy("at").agg(F.ceil(F.sum("n") / fragment).cast("int").alias("pieces"))
+    spot = lambda label, piece: F.pmod(F.xxhash64(label, piece, F.lit(level)), F.lit(parts)).cast("int")
+    where = cut(at.join(pieces, "at").select("node", spot("at", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).alias("spot")), "spots")
+    side = lambda c: where.select(F.col("node").alias(c), F.col("spot").alias(f"_{c}"))
+    alone = lambda c: F.coalesce(F.col(f"_{c}"), spot(c, F.lit(0)))
+    both = links.join(side("child"), "child", "left").join(side("parent"), "parent", "left")
+    return both.select(*links.columns, alone("child").alias("part"), F.coalesce(alone("child") == alone("parent"), F.lit(False)).alias("own")).withColumn("own", F.col("own") & inner), parts
+
+
+def ancestors(links: DataFrame, fragment: int = FRAGMENT, level: int = 0, most: int | None = None) -> DataFrame:
+    """(node, anc): every ancestor of every node of distinct, non-null (child, parent); a node is its own exactly if it is on a cycle."""
+    tagged, parts = fragments(links.select("child", "parent"), fragment, level, most)
     local = tagged.groupBy("part").applyInPandas(_local_ancestors, "node string, anc string, exit boolean")
     if parts == 1:
         return local.select("node", "anc")
@@ -116,22 +143,13 @@ def ancestors(links: DataFrame, fragment: int = FRAGMENT, level: int = 0) -> Dat
     exits, inner = local.filter("exit").select("node", "anc"), local.filter("NOT exit").select("node", "anc")
     border = exits.select(F.col("anc").alias("node")).distinct()
     quotient = cut(exits.join(border, "node", "left_semi").select(F.col("node").alias("child"), F.col("anc").alias("parent")), "quotient")
-    solved = ancestors(quotient, fragment, level + 1) if quotient.count() <= 0.8 * n else _doubled(quotient)
+    solved = ancestors(quotient, fragment, level + 1, parts // 2)
     further = exits.join(solved.select(F.col("node").alias("anc"), F.col("anc").alias("top")), "anc").select("node", F.col("top").alias("anc"))
     met = cut(exits.union(further).distinct(), "met")
     beyond = met.join(inner.select(F.col("node").alias("anc"), F.col("anc").alias("top")), "anc").select("node", F.col("top").alias("anc"))
     return inner.union(met).union(beyond).distinct()
 
 
-def _doubled(links: DataFrame) -> DataFrame:
-    """Closure by joining the reached pairs with themselves until their number rests."""
-    pairs, n = cut(links.select(F.col("child").alias("node"), F.col("parent").alias("anc")), "pairs"), -1
-    while pairs.count() != n:
-        n = pairs.count()
-        pairs = cut(pairs.union(pairs.join(pairs.select(F.col("node").alias("anc"), F.col("anc").alias("top")), "anc").select("node", F.col("top").alias("anc"))).distinct(), "pairs")
-    return pairs
-
-
 def _local_ways(p: pd.DataFrame) -> pd.DataFrame:
     rows = defaultdict(list)
     for c, q, own, seg, steps in zip(p.child, p.parent, p.own, p.seg, p.steps):
@@ -152,31 +170,18 @@ def _local_ways(p: pd.DataFrame) -> pd.DataFrame:
 _WAY = "child string, parent string, seg string, steps int"
 
 
-def _ways(rows: DataFrame, fragment: int, level: int) -> DataFrame:
-    n = rows.count()
-    parts = max(1, -(-n // fragment))
-    spot = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(parts))
-    own = F.coalesce(spot("child") == spot("parent"), F.lit(False)) & F.col("parent").isNotNull()
-    local = rows.withColumns({"part": spot("child"), "own": own}).groupBy("part").applyInPandas(_local_ways, _WAY)
+def _ways(rows: DataFrame, fragment: int, level: int, most: int | None = None) -> DataFrame:
+    tagged, parts = fragments(rows, fragment, level, most)
+    local = tagged.groupBy("part").applyInPandas(_local_ways, _WAY)
     if parts == 1:
         return local.filter("parent IS NULL")
     local = cut(local, "ways")
     border = local.filter("parent IS NOT NULL").select(F.col("parent").alias("child")).distinct()
     quotient = cut(local.join(border, "child", "left_semi"), "quotient")
-    solved = _ways(quotient, fragment, level + 1) if quotient.count() <= 0.8 * n else _ways_doubled(quotient)
-    return _joined(local, solved)
-
-
-def _joined(rows: DataFrame, solved: DataFrame) -> DataFrame:
+    solved = _ways(quotient, fragment, level + 1, parts // 2)
     up = solved.select(F.col("child").alias("parent"), F.col("parent").alias("top"), F.col("seg").alias("head"), F.col("steps").alias("more"))
-    via = rows.filter("parent IS NOT NULL").join(up, "parent").select("child", F.col("top").alias("parent"), F.concat_ws("/", "head", "seg").alias("seg"), (F.col("steps") + F.col("more")).alias("steps"))
-    return rows.filter("parent IS NULL").union(via)
-
-
-def _ways_doubled(rows: DataFrame) -> DataFrame:
-    while not rows.filter("parent IS NOT NULL").isEmpty():
-        rows = cut(_joined(rows, rows), "ways")
-    return rows
+    via = local.filter("parent IS NOT NULL").join(up, "parent").select("child", F.col("top").alias("parent"), F.concat_ws("/", "head", "seg").alias("seg"), (F.col("steps") + F.col("more")).alias("steps"))
+    return local.filter("parent IS NULL").union(via)
 
 
 def paths(links: DataFrame, nodes: DataFrame, fragment: int = FRAGMENT) -> DataFrame:

@@ -61,3 +61,47 @@ def test_a_long_chain_in_small_fragments(spark):
     links = [(f"c{i:03d}", f"c{i - 1:03d}") for i in range(1, 60)]
     got = run(spark, [(c, [p], None) for c, p in links], fragment=10)
     assert ("c059", "path", "c000", 59, "/".join(f"c{i:03d}" for i in range(60))) in got and len(got) == 60
+
+
+def levels_of(monkeypatch):
+    seen, real = [], H.fragments
+
+    def counted(links, *a):
+        got = real(links, *a)
+        seen.append((links.count(), got[1]))
+        return got
+
+    monkeypatch.setattr(H, "fragments", counted)
+    return seen
+
+
+def test_every_level_keeps_less_than_half_of_deep_chains(spark, monkeypatch):
+    seen = levels_of(monkeypatch)
+    links = [(f"{c}_{i:04d}", f"{c}_{i - 1:04d}") for c in "abcdef" for i in range(1, 300)]
+    df = spark.createDataFrame(links, "child string, parent string")
+    assert H.ancestors(df, fragment=40).count() == 6 * 299 * 300 // 2
+    assert [p for _, p in seen][-1] == 1 and len(seen) >= 2 and all(2 * b < a for (a, _), (b, _) in zip(seen, seen[1:])), seen
+    seen.clear()
+    nodes = df.selectExpr("explode(array(child, parent)) AS node").distinct()
+    got = {(r.node, r.depth) for r in H.paths(df, nodes, fragment=40).collect()}
+    assert got == {(f"{c}_{i:04d}", i) for c in "abcdef" for i in range(300)}
+    assert len(seen) >= 2 and all(2 * b < a for (a, _), (b, _) in zip(seen, seen[1:])), seen
+
+
+def test_a_hub_is_spread_and_dense_links_end(spark, monkeypatch):
+    seen = levels_of(monkeypatch)
+    hub = [(f"leaf{i}", "hub") for i in range(500)] + [("hub", "top")]
+    df = spark.createDataFrame(hub, "child string, parent string")
+    tagged, parts = H.fragments(df, 50, 0)
+    assert parts == 11 and max(r["count"] for r in tagged.groupBy("part").count().collect()) < 260
+    assert H.ancestors(df, fragment=50).count() == 1001
+    seen.clear()
+    dense = [(f"n{i:02d}", f"n{j:02d}") for i in range(40) for j in range(i)]  # contraction leaves almost all of them
+    assert H.ancestors(spark.createDataFrame(dense, "child string, parent string"), fragment=20).count() == 780
+    assert [p for _, p in seen] == [39, 19, 9, 4, 2, 1]
+
+
+def test_a_cycle_over_many_fragments(spark):
+    ring = [(f"r{i:03d}", f"r{(i + 1) % 200:03d}") for i in range(200)] + [("tail", "r000"), ("r100", "above")]
+    got = run(spark, [(c, [p], None) for c, p in ring], fragment=20)
+    assert got == {(f"r{i:03d}", "cycle", "r000", -1, "") for i in range(200)} | {("tail", "below", "", -1, ""), ("above", "path", "above", 0, "above")}

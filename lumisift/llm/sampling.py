@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,27 +57,27 @@ def quotas(cells: list[tuple], counts: np.ndarray, want: list[dict | None], size
     goal = int(min(max(size, 0), counts.sum()))
     if not goal:
         return np.zeros(len(n), dtype=np.int64)
-    groups = []  # (rows of the category, need), by dimension; what is in no category shares the rest
+    groups = []  # by dimension: each cell's category, and what the categories need; what is in none shares the rest
     for k, w in enumerate(want):
         if w is None:
             continue
-        sets = [(np.array([c[k] == name for c in cells]), need) for name, need in w.items()]
-        rest = ~np.any([s for s, _ in sets], axis=0)
-        asked = sum(v for _, v in sets)
-        groups.append([(s, v * min(1.0, goal / asked)) for s, v in sets] + [(rest, max(goal - asked, 0.0))])
-    x = n * goal / n.sum()
+        place = {name: z for z, name in enumerate(w)}
+        asked = sum(w.values())
+        groups.append((np.array([place.get(c[k], len(w)) for c in cells]), np.array([*(v * min(1.0, goal / asked) for v in w.values()), max(goal - asked, 0.0)])))
+    x, old = n * goal / n.sum(), None
     for _ in range(60):
-        for g in groups:
-            for s, v in g:
-                have = x[s].sum()
-                if have > 0:
-                    x[s] = np.minimum(x[s] * v / have, n[s])
+        if old is not None and np.abs(x - old).max() < 1e-7:
+            break
+        old = x
+        for cat, need in groups:
+            have = np.bincount(cat, x, len(need))
+            x = np.minimum(x * np.divide(need, have, out=np.ones(len(need)), where=have > 0)[cat], n)
         short = goal - x.sum()
         room = n - x
         if short > 1e-9 and room.sum() > 0:
-            x += room * short / room.sum()
+            x = x + room * short / room.sum()
         elif short < 0:
-            x *= goal / x.sum()
+            x = x * goal / x.sum()
     q = np.floor(x + 1e-9).astype(np.int64)
     order = np.lexsort((np.arange(len(n)), -(x - q)))
     for i in [i for i in order if q[i] < counts[i]] * 2:
@@ -87,47 +89,92 @@ def quotas(cells: list[tuple], counts: np.ndarray, want: list[dict | None], size
         q[np.argmax(counts - q)] += 1
     while q.sum() > goal:
         q[np.argmax(q)] -= 1
-    asks = [(s, v) for w, k in zip(want, range(len(want))) if w is not None for s, v in ((np.array([c[k] == name for c in cells]), need) for name, need in w.items())]
-    if not asks:
+    if not groups:
         return q
-    member, need = np.array([s for s, _ in asks], dtype=np.int64), np.ceil(np.array([v for _, v in asks]) - 1e-9)
-    reachable = np.minimum(need, member @ counts)
+    member = np.vstack([(cat == np.arange(len(need) - 1)[:, None]) for cat, need in groups]).astype(np.int64)
+    need = np.ceil(np.concatenate([[*w.values()] for w in want if w is not None]) - 1e-9)
+    reachable = np.minimum(need, member @ counts).astype(np.int64)
     for _ in range(goal * 4):
-        had = member @ q
-        if (had >= reachable).all():
-            break
-        give, take = q > 0, q < counts
-        best, move = 0.0, None
-        base = np.maximum(reachable - had, 0).sum()
-        for i in np.flatnonzero(give):
-            after = had - member[:, i]
-            loss = np.maximum(reachable[:, None] - (after[:, None] + member), 0).sum(0).astype(float)
-            loss[~take] = np.inf
-            loss[i] = np.inf
-            j = int(loss.argmin())
-            if base - loss[j] > best:
-                best, move = base - loss[j], (i, j)
-        if move is None:
+        moves = exchange(q, counts, member, reachable)
+        if not moves:
             break
-        q[move[0]] -= 1
-        q[move[1]] += 1
+        for i, j in moves:
+            q[i] -= 1
+            q[j] += 1
     return q
 
 
-def proportional_samples(items: DataFrame, requests: DataFrame, seed: int = 5, dimensions=DIMENSIONS) -> tuple[DataFrame, DataFrame]:
+def exchange(q: np.ndarray, counts: np.ndarray, member: np.ndarray, reachable: np.ndarray) -> list[tuple[int, int]]:
+    """The move of one unit between two cells, or if none helps the two moves together, that lower the total shortfall most; none if nothing does."""
+    had = member @ q
+    base = np.maximum(reachable - had, 0).sum()
+    if not base:
+        return []
+    pairs = np.argwhere((q > 0)[:, None] & (q < counts)[None, :] & ~np.eye(len(q), dtype=bool))
+    if not len(pairs):
+        return []
+    delta = (member[:, pairs[:, 1]] - member[:, pairs[:, 0]]).T
+    _, one = np.unique(delta, axis=0, return_index=True)  # cells of the same categories do alike
+    pairs, delta = pairs[one], delta[one]
+    short = reachable - had
+    single = np.maximum(short - delta, 0).sum(1)
+    if single.min() < base:
+        return [tuple(pairs[single.argmin()])]
+    best, found = base, []
+    helps = np.flatnonzero((delta[:, short > 0] > 0).any(1))
+    for a in helps[np.argsort(single[helps], kind="stable")]:
+        both = np.maximum(short - delta[a] - delta, 0).sum(1)
+        i, j = pairs[a]
+        room = ((pairs[:, 0] != i) | (q[i] > 1)) & ((pairs[:, 1] != j) | (counts[j] - q[j] > 1))
+        both = np.where(room, both, base)
+        if both.min() < best:
+            best, found = both.min(), [(i, j), tuple(pairs[both.argmin()])]
+    return found
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n drawn are good; beyond a billion, where numpy's own draw ends, by the normal law."""
+    if good + bad < 1_000_000_000:
+        return rng.hypergeometric(good, bad, n)
+    share = good / (good + bad)
+    k = round(rng.normal(n * share, math.sqrt(n * share * (1 - share) * (good + bad - n) / (good + bad - 1))))
+    return min(max(k, n - bad, 0), good, n)
+
+
+def drawn_ranks(n: int, quota: int, rng: np.random.Generator) -> np.ndarray:
+    """``quota`` of the ranks 0 .. n - 1: each accepted independently with a probability a little above quota / n, then counted exactly.
+
+    The gaps between accepted ranks are geometric, so the work is that of the accepted, not of the ranks. Of too many
+    a random part is dropped, for too few random others follow.
+    """
+    p = min(1.0, (quota + 4 * math.sqrt(quota) + 4) / n)
+    if p >= 1.0:
+        return rng.permutation(n)[:quota]
+    got = np.empty(0, dtype=np.int64)
+    while not len(got) or got[-1] < n:
+        gaps = rng.geometric(p, size=int(n * p * 1.1) + 16)
+        got = np.r_[got, (got[-1] if len(got) else -1) + np.cumsum(gaps)]
+    got = rng.permutation(got[got < n])[:quota]
+    while len(got) < quota:
+        more = rng.integers(0, n, size=2 * (quota - len(got)) + 8)
+        got = np.concatenate([got, np.setdiff1d(more, got)])[:quota]
+    return got
+
+
+def proportional_samples(items: DataFrame, requests: DataFrame, seed: int = 5, dimensions=DIMENSIONS, stretch: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(sample, report): sample (request_id, image_id); report (request_id, dimension,
     category, need, available, chosen, short), a row per category a request asks for.
 
     Of ``items`` only the newest row of an image counts. Values are compared in TAG FORM;
     unknown and null values belong to no category and fill up a sample only after
-    the categories. Every image of the request's group is accepted independently with the
-    probability of its cell (the combination of its categories), set a little above the
-    cell's quota; the accepted are then counted exactly down to the quota, and in the rare
-    cell in which too few were accepted the next ones in the same random order follow.
+    the categories. The images of a cell (the combination of its categories within a group) are ranked
+    once, in random order; for each request every rank of a cell is accepted independently with a probability set a
+    little above the cell's quota, and the accepted are then counted exactly (:func:`drawn_ranks`). Only
+    accepted ranks meet images, so the work is that of the samples, not of requests times images.
     A request with no images, a null group or size 0 gives an empty sample and its needs;
-    repeated requests count once. A group of a third of all rows is joined in split partitions.
+    repeated requests count once. Large cells are ranked by many tasks, and large quotas drawn by many.
     """
-    names = [d.name for d in dimensions]
+    spark, names = items.sparkSession, [d.name for d in dimensions]
     known = lambda d: F.when(tag_form(F.col(d.name)).isin(d.categories), tag_form(F.col(d.name))).otherwise("")
     now = latest(items, "image_id", ["tagged_at", "loaded_at"], ["job_id", *names])
     now = cut(now.select("image_id", "job_id", *(known(d).alias(d.name) for d in dimensions)), "items")
@@ -156,19 +203,53 @@ def proportional_samples(items: DataFrame, requests: DataFrame, seed: int = 5, d
             frame = pd.DataFrame(out, columns=["request_id", "job_id", *names, "n", "quota", "dimension", "category", "need"])
             yield frame.astype({"n": "Int64", "quota": "Int64"})
 
-    planned = cut(joined.mapInPandas(plan, schema), "quotas")
-    quota = planned.filter("quota > 0").select("request_id", "job_id", *names, "n", "quota")
-    slack = 4 * F.sqrt(F.col("quota")) + 4
-    quota = quota.withColumn("p", F.least(F.lit(1.0), (F.col("quota") + slack) / F.col("n")))
+    wide = 4 * spark.sparkContext.defaultParallelism
+    planned = cut(joined.repartition(wide, "request_id").mapInPandas(plan, schema), "quotas")
     on = ["job_id", *names]
-    drawn = now.join(quota, on).withColumn("u", F.pmod(F.xxhash64("image_id", "request_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40)))
-    accepted = cut(drawn.filter("u < p").select("request_id", *names, "image_id", "quota", "u"), "accepted")
-    got = accepted.groupBy("request_id", *names).agg(F.count("*").alias("got"))
-    few = quota.join(got, ["request_id", *names], "left").filter("coalesce(got, 0) < quota").select(*quota.columns)
-    more = now.join(few, on).withColumn("u", F.pmod(F.xxhash64("image_id", "request_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))).filter("u >= p")
-    every = accepted.union(more.select(*accepted.columns))
-    w = Window.partitionBy("request_id", *names).orderBy("u", "image_id")
-    chosen = cut(every.withColumn("rn", F.row_number().over(w)).filter("rn <= quota").select("request_id", "image_id", *names), "sample")
+
+    def shared(batches):
+        """The quota of each stretch of a cell's ranks, drawn without replacement over the stretches."""
+        for p in batches:
+            out = []
+            for r in p.itertuples(index=False):
+                left, lo, rng = r.quota, 0, np.random.default_rng([seed, zlib.crc32(repr(tuple(r)).encode())])
+                while lo < r.n and left:
+                    m = min(stretch, r.n - lo)
+                    k = left if m == r.n - lo else int(hypergeometric(rng, m, r.n - lo - m, left))
+                    if k:
+                        out.append((*r, lo, m, k))
+                    left, lo = left - k, lo + m
+            yield pd.DataFrame(out, columns=[*p.columns, "lo", "m", "k"])
+
+    def draw(batches):
+        def rows(p, got):
+            of = np.repeat(np.arange(len(p)), [len(g) for g in got])
+            return p.iloc[of][["request_id", *on]].assign(rank=np.concatenate(got))[["rank", "request_id", *on]]
+
+        for p in batches:
+            got, first, held = [], 0, 0
+            for at, r in enumerate(p.itertuples(index=False)):
+                got.append(r.lo + drawn_ranks(r.m, r.k, np.random.default_rng([seed, zlib.crc32(repr(tuple(r)).encode())])))
+                held += r.k
+                if held > 1 << 18:
+                    yield rows(p.iloc[first : at + 1], got)
+                    got, first, held = [], at + 1, 0
+            if got:
+                yield rows(p.iloc[first:], got)
+
+    quota = planned.filter("quota > 0").select("request_id", *on, "n", "quota")
+    parts = quota.mapInPandas(shared, f"request_id long, job_id string, {keys}, n long, quota long, lo long, m long, k long")
+    ranks = parts.repartition(wide, "request_id", *on, "lo").mapInPandas(draw, f"rank long, request_id long, job_id string, {keys}")
+
+    # Ranks within cells: salted, so that a cell of a third of all rows is sorted by as many tasks as it has stretches.
+    sized = now.join(planned.filter("n IS NOT NULL").groupBy(*on).agg(F.first("n").alias("n")), on)
+    order = F.xxhash64("image_id", F.lit(seed))
+    salted = cut(sized.withColumn("salt", F.pmod(order, F.ceil(F.col("n") / stretch)).cast("int")), "salted")
+    sizes = salted.groupBy(*on, "salt").agg(F.count("*").alias("c"))
+    offset = sizes.withColumn("offset", F.coalesce(F.sum("c").over(Window.partitionBy(*on).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    within = F.row_number().over(Window.partitionBy(*on, "salt").orderBy(order, "image_id"))
+    ranked = salted.withColumn("k", within).join(offset, [*on, "salt"]).select(*on, "image_id", (F.col("offset") + F.col("k") - 1).alias("rank"))
+    chosen = cut(ranks.join(ranked, [*on, "rank"]).select("request_id", "image_id", *names), "sample")
 
     def cell_sums(df, group, value):
         pairs = F.explode(F.array(*(F.struct(F.lit(d.name).alias("dimension"), F.col(d.name).alias("category")) for d in dimensions)))

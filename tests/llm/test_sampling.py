@@ -2,7 +2,7 @@ from datetime import datetime
 
 import numpy as np
 
-from lumisift.llm.sampling import DIMENSIONS, needs, proportional_samples, quotas
+from lumisift.llm.sampling import DIMENSIONS, drawn_ranks, exchange, hypergeometric, needs, proportional_samples, quotas
 
 T = [datetime(2025, 1, d) for d in range(1, 9)]
 REQ = "request_id long, job_id string, target_size int, people_count_target map<string,double>, framing_target map<string,double>, outdoors_target map<string,double>, min_per_category int, submitted_at timestamp, n long"
@@ -54,3 +54,34 @@ def test_samples_and_deficits(spark):
 def test_empty(spark):
     got, report = run(spark, [], [])
     assert got == {} and report == {}
+
+
+def test_ranks_are_drawn_evenly_and_exactly():
+    hits = np.zeros(300)
+    for k in range(3000):
+        got = drawn_ranks(300, 20, np.random.default_rng(k))
+        assert len(got) == 20 == len(set(got.tolist())) and got.min() >= 0 and got.max() < 300
+        hits[got] += 1
+    assert abs(hits - 200).max() < 80  # 200 expected, deviation about 14
+    for n, q in ((1, 1), (5, 5), (10, 9), (1_000_000, 3)):
+        assert len(set(drawn_ranks(n, q, np.random.default_rng(1)).tolist())) == q
+    rng = np.random.default_rng(2)
+    assert 4_000_000 < hypergeometric(rng, 10**12, 10**12, 10**7) < 6_000_000 and hypergeometric(rng, 3, 0, 2) == 2
+
+
+def test_two_moves_together():
+    # no single move helps: a unit for category 0 costs category 1, which only a second move gives back
+    member = np.array([[1, 0, 0, 0], [0, 1, 0, 1], [0, 1, 1, 0]])
+    q, counts, reach = np.array([0, 1, 0, 1]), np.array([1, 2, 2, 1]), np.array([1, 1, 1])
+    while moves := exchange(q, counts, member, reach):
+        for i, j in moves:
+            q[i], q[j] = q[i] - 1, q[j] + 1
+    assert (member @ q >= reach).all() and q.sum() == 2
+
+
+def test_large_cells_and_quotas_are_drawn_in_stretches(spark):
+    items = spark.createDataFrame([(k, "hot", "1" if k % 3 else "2", "full_body", "true", T[1], T[1], "x") for k in range(2000)], ITEM)
+    requests = spark.createDataFrame([(7, "hot", 900, {"1": 0.5, "2": 0.5}, None, {"true": 1.0}, 0, T[0], 1), (8, "hot", 5000, None, None, None, 0, T[0], 1)], REQ)
+    sample, report = proportional_samples(items, requests, stretch=64)
+    got = [(r.request_id, r.image_id) for r in sample.collect()]
+    assert len(got) == len(set(got)) == 2900 and sum(1 for r, i in got if r == 7 and i % 3 == 0) == 450

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..storage import cut
 from .tokens import VOCABULARY, token_counts
 
-#: Plans of more rows than this are joined by shuffle instead of being broadcast.
-BROADCAST_ROWS = 100_000
+#: Pieces of one length that one task ranks.
+RANKED = 50_000
 
 
 def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -59,18 +59,21 @@ def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
     return rows
 
 
-def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048, vocabulary: str = VOCABULARY, salts: int = 64) -> DataFrame:
+def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, piece, n, sequence_id, at): where each document, or each piece of a document
     longer than ``capacity``, lies.
 
     Lengths are planned on their histogram, of at most ``capacity`` numbers; documents take
     the planned slots by their rank within their length. Ranks are counted within
-    (length, salt) and offset by the counts of earlier salts, so a length that a third
-    of all documents have is ranked by many tasks. Ids are unique; null ids, and null or
+    (length, salt) and offset by the counts of earlier salts; there are as many salts as the pieces need,
+    so a length that a third of all documents have is ranked by many tasks. Ids are unique; null ids, and null or
     empty texts, take no room and give no row. An empty table gives none.
     """
     spark = df.sparkSession
     sizes = token_counts(df.filter(F.col(id_col).isNotNull()), id_col, text_col, vocabulary=vocabulary).filter("n > 0")
+    sizes = cut(sizes, "sizes")
+    total = sizes.agg(F.sum(F.ceil(F.col("n") / capacity))).first()[0] or 0
+    salts = max(1, -(-total // RANKED))
     last = F.col("n") % capacity
     pieces = sizes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1), lambda i: F.when(((i + 1) * F.lit(capacity)) <= F.col("n"), F.lit(capacity)).otherwise(last.cast("int")))).alias("piece", "n"))
     pieces = cut(pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int")), "pieces")
@@ -82,8 +85,6 @@ def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048, vocabu
     ranked = pieces.withColumn("k", within).join(offset, ["n", "salt"]).select("id", "piece", "n", (F.col("offset") + F.col("k") - 1).alias("rank"))
     rows = plan_slots(histogram, capacity)
     plan = spark.createDataFrame(rows, "n int, first long, many long, start long, each long, used long")
-    if len(rows) <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
     slot = F.col("rank") - F.col("first")
     at = ranked.join(plan, "n").filter((slot >= 0) & (slot < F.col("many")))
     return at.select("id", "piece", "n", (F.col("start") + F.floor(slot / F.col("each"))).alias("sequence_id"), (F.col("used") + slot % F.col("each") * F.col("n")).alias("at"))

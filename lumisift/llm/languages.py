@@ -16,26 +16,43 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stripped_lower
 
-LANGUAGES = ("en", "de", "nl", "fr", "es", "pt", "it", "ru", "zh", "ja", "ko")
+UNKNOWN = "und"
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 
-#: What has no language: markup, bracketed fields, addresses, key=value, file names, tag lists, tags.
-_NO_LANGUAGE = re.compile(
-    r"<[^<>]{0,200}>|&#?\w{1,10};|\[[^\[\]\n]{0,200}\]|https?://\S+|[A-Za-z0-9_.-]+=[^\s,;]*"
-    r"|[A-Za-z0-9_()\-]+\.(?:png|jpe?g|webp|bmp|tiff?|txt|json|csv)\b:?|^[ \t]*tags?:.*$"
-    r"|[A-Za-z0-9()]*(?:_+[A-Za-z0-9()]+)+_*",
-    re.IGNORECASE | re.MULTILINE,
-)
+# What has no language, each kind looked for only in texts that hold its sign. The order matters: markup and fields
+# first, so that what stands inside them goes with them. Look-behinds let a word be tried once, at its beginning.
+_MARKUP = re.compile(r"<[A-Za-z/!?][^<>]*>|&#?\w{1,32};|\[[^\[\]\n]*\]")
+_ADDRESS = re.compile(r"https?://[^\s<>\"']+", re.IGNORECASE)
+_SETTING = re.compile(r"(?<![A-Za-z0-9_.\-])[A-Za-z0-9_.\-]+=(?:\"[^\"\n]*\"|'[^'\n]*'|[^\s,;\"'<>]*)")
+_FILE = re.compile(r"(?<![A-Za-z0-9_()\-])[A-Za-z0-9_()\-]+\.(?:png|jpe?g|webp|bmp|tiff?|txt|json|csv)\b:?", re.IGNORECASE)
+_SUFFIX = re.compile(r"\.(?:png|jpe?g|webp|bmp|tiff?|txt|json|csv)\b", re.IGNORECASE)
+_TAG_LINE = re.compile(r"^[ \t]*tags?:.*$", re.IGNORECASE | re.MULTILINE)
+_TAG = re.compile(r"(?<![A-Za-z0-9()])[A-Za-z0-9()]*(?:_+[A-Za-z0-9()]+)+_*")
 _SENTENCE = re.compile(r"[^.!?。！？…\n]+")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
+def plain_text(text: str) -> str:
+    """The text with blanks for markup, bracketed fields, addresses, key=value, file names, tag lists and tags, however long they are."""
+    if "<" in text or "&" in text or "[" in text:
+        text = _MARKUP.sub(" ", text)
+    if "://" in text:
+        text = _ADDRESS.sub(" ", text)
+    if "=" in text:
+        text = _SETTING.sub(" ", text)
+    if "." in text and _SUFFIX.search(text):
+        text = _FILE.sub(" ", text)
+    if ":" in text:
+        text = _TAG_LINE.sub(" ", text)
+    return _TAG.sub(" ", text) if "_" in text else text
+
+
 def sentences(text: str) -> list[str]:
     """The sentences of a text that hold a letter, lower-cased, other characters as single blanks."""
     out = []
-    for m in _SENTENCE.finditer(_NO_LANGUAGE.sub(" ", text)):
-        s = _NOT_LETTER.sub(" ", m[0]).strip().lower()
+    for m in _SENTENCE.findall(plain_text(text)):
+        s = _NOT_LETTER.sub(" ", m).strip().lower()
         if s:
             out.append(s)
     return out
@@ -79,28 +96,34 @@ def log_odds(counts: np.ndarray, back: float = 0.05) -> np.ndarray:
     return np.log((1 - back) * own / common + back).astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[str], languages=LANGUAGES, rounds: int = 3) -> np.ndarray:
-    """BUCKETS x languages matrix of log-odds.
+def fit(texts: list[str], labels: list[str], languages: list[str], rounds: int = 3, piece: int = 8192) -> tuple[np.ndarray, list[str]]:
+    """(BUCKETS x languages matrix of log-odds, languages).
 
     The first round believes the labels; later ones give each sentence to the language it
-    then fits best, which takes the wrongly labelled and mixed documents out of the counts.
+    then fits best, which takes the wrongly labelled and mixed documents out of the counts. A label
+    whose own sentences mostly fit others better names no language and is left out. Sentences are counted in pieces.
     """
     sents, first = [], []
     for t, label in zip(texts, labels):
         s = sentences(t)
         sents += s
         first += [languages.index(label)] * len(s)
-    counts = np.zeros((BUCKETS, len(languages)))
-    if not sents:
-        return log_odds(counts)
-    bucket, number = ngram_buckets(sents)
-    of = np.array(first)
-    for r in range(rounds):
-        counts = np.bincount(bucket.astype(np.int64) * len(languages) + of[number], minlength=BUCKETS * len(languages)).reshape(BUCKETS, -1).astype(float)
-        weights = log_odds(counts)
+    parts, of = [sents[lo : lo + piece] for lo in range(0, len(sents), piece)], np.array(first, dtype=np.int64)
+    given, kept = of, np.arange(len(languages))
+    counts = np.zeros((BUCKETS, max(len(languages), 1)))
+    for r in range(rounds if sents else 0):
+        counts = np.zeros((BUCKETS, len(languages)))
+        for k, part in enumerate(parts):
+            bucket, number = ngram_buckets(part)
+            own = of[k * piece : k * piece + len(part)]
+            np.add.at(counts, (bucket, own[number]), 1.0)
         if r < rounds - 1:
-            of = _sums(weights, bucket, number, len(sents)).argmax(1)
-    return weights
+            weights = log_odds(counts)
+            weights[:, np.setdiff1d(np.arange(len(languages)), kept)] = -50.0
+            of = np.concatenate([_sums(weights, *ngram_buckets(part), len(part)).argmax(1) for part in parts])
+            same = np.bincount(given, of == given, len(languages)) * 2 >= np.bincount(given, minlength=len(languages))
+            kept = np.flatnonzero(same) if same.any() else kept
+    return log_odds(counts[:, kept] if len(languages) else counts), [languages[k] for k in kept] or [UNKNOWN]
 
 
 def stretches(score: np.ndarray, switch: float = 6.0) -> list[tuple[int, int, int]]:
@@ -131,13 +154,14 @@ def stretches(score: np.ndarray, switch: float = 6.0) -> list[tuple[int, int, in
     return out[::-1]
 
 
-def identify(df: DataFrame, id_col: str, text_col: str, weights: np.ndarray, languages=LANGUAGES) -> DataFrame:
+def identify(df: DataFrame, id_col: str, text_col: str, weights: np.ndarray, languages: list[str]) -> DataFrame:
     """(id, segment_no, segments, lang, confidence, sentences): a row per stretch of one language of each whole text.
 
     Segments are numbered from 1. Null and blank texts, and texts of nothing but markup, tags,
     numbers and file names, have none. Confidence is the naive Bayes posterior with the
     evidence divided by the square root of the number of n-grams, as n-grams that
-    overlap do not bear witness independently. A tie goes to the language listed first.
+    overlap do not bear witness independently. A tie goes to the language listed first. A segment that the
+    common model of all languages explains better than any of them is ``und``.
     """
     model = df.sparkSession.sparkContext.broadcast(weights)  # BUCKETS x languages, of fixed size
 
@@ -171,7 +195,7 @@ def _identify(ids, texts, w, languages) -> pd.DataFrame:
             for k, (lang, lo, hi) in enumerate(parts, 1):
                 z = score[at + lo : at + hi].sum(0) / np.sqrt(max(grams[at + lo : at + hi].sum(), 1))
                 conf = 1 / np.exp(np.minimum(z - z[lang], 50)).sum()
-                out.append((i, k, len(parts), languages[lang], float(conf), hi - lo))
+                out.append((i, k, len(parts), languages[lang] if z[lang] > 0 else UNKNOWN, float(conf), hi - lo))
             at += n
     return pd.DataFrame(out, columns=["id", "segment_no", "segments", "lang", "confidence", "sentences"])
 
@@ -181,7 +205,15 @@ def given_code(c) -> F.Column:
     return F.regexp_replace(stripped_lower(c), r"[-_].*$", "")
 
 
-def labelled_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int = 400, longest: int = 20_000, languages=LANGUAGES) -> tuple[list[str], list[str]]:
+def labels_in_use(df: DataFrame, label_col: str, share: float = 0.005) -> list[str]:
+    """The two-letter codes that at least ``share`` of all rows are labelled with, at most 1 / ``share`` of them."""
+    rows = df.select(given_code(F.col(label_col)).alias("label"))
+    n = rows.count()
+    often = rows.filter(F.col("label").rlike("^[a-z]{2}$")).groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= share * n)
+    return sorted(r.label for r in often.collect())
+
+
+def labelled_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, languages: list[str], per_language: int = 400, longest: int = 20_000) -> tuple[list[str], list[str]]:
     """At most ``per_language`` texts of each given label, chosen by a hash of the id, of those with at most ``longest`` characters.
 
     The bound keeps the sample below languages * per_language * longest characters whatever the table's size.
@@ -193,6 +225,7 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, p
     return [r.text for r in kept], [r.label for r in kept]
 
 
-def document_languages(df: DataFrame, id_col: str, text_col: str, label_col: str, **bounds) -> DataFrame:
-    """:func:`identify` with a model fitted on this table's own labelled sample."""
-    return identify(df, id_col, text_col, fit(*labelled_sample(df, id_col, text_col, label_col, **bounds)))
+def document_languages(df: DataFrame, id_col: str, text_col: str, label_col: str, languages: list[str] | None = None, **bounds) -> DataFrame:
+    """:func:`identify` with a model fitted on this table's own labelled sample, for ``languages`` or else the labels in use."""
+    languages = labels_in_use(df, label_col) if languages is None else languages
+    return identify(df, id_col, text_col, *fit(*labelled_sample(df, id_col, text_col, label_col, languages, **bounds), languages))

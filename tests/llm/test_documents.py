@@ -62,7 +62,7 @@ def test_packing_of_odd_documents(spark):
     counts = {r.id: r.n for r in token_counts(df, "doc_id", "text").collect()}
     enc = encoder(VOCABULARY)
     assert counts[903] == len(enc.encode_ordinary("ab " * 300)) and counts[900] == counts[901] == 0
-    got = pack(df, "doc_id", "text", capacity=64, salts=4).collect()
+    got = pack(df, "doc_id", "text", capacity=64).collect()
     total, bins = {}, {}
     for r in got:
         total[r.id] = total.get(r.id, 0) + r.n
@@ -135,7 +135,7 @@ def weights():
         for k in range(30):
             texts.append(" ".join(rng.permutation(s)[:3]))
             labels.append("en" if k % 6 == 0 else lang)  # some labels are wrong
-    return L.fit(texts, labels)
+    return L.fit(texts, labels, list(TEXTS))
 
 
 def test_ngrams_do_not_cross_texts():
@@ -171,19 +171,40 @@ def test_documents_and_segments(spark, weights):
     mixed = " ".join(TEXTS["de"][:2]) + "\n\n" + "".join(TEXTS["zh"][:3]) + " ".join(TEXTS["en"][1:3])
     rows = [(1, TEXTS["fr"][0].upper(), "x"), (2, "img_123.png: <p>" + " ".join(TEXTS["es"][:3]).replace("á", "a").replace("í", "i") + "</p>\ntags: blue_sky, old_street", "x"), (3, mixed, "x"), (4, None, "x"), (5, "  ", "x"), (6, "img_1.png 12345 a_b <br>", "x"), (7, "".join(TEXTS["ja"]) * 3000, "x"), (8, "Nobody", "x")]
     got = {}
-    for r in L.identify(docs(spark, rows), "doc_id", "text", weights).orderBy("id", "segment_no").collect():
+    for r in L.identify(docs(spark, rows), "doc_id", "text", *weights).orderBy("id", "segment_no").collect():
         assert 0 < r.confidence <= 1
         got.setdefault(r.id, []).append((r.segment_no, r.lang))
     assert got == {1: [(1, "fr")], 2: [(1, "es")], 3: [(1, "de"), (2, "zh"), (3, "en")], 7: [(1, "ja")], 8: [(1, "en")]}
 
 
 def test_held_out_accuracy(weights):
-    hit = sum(L._identify([0], [s], weights, L.LANGUAGES).lang[0] == lang for lang, ss in TEXTS.items() for s in (x[: len(x) * 2 // 3] for x in ss))
+    hit = sum(L._identify([0], [s], *weights).lang[0] == lang for lang, ss in TEXTS.items() for s in (x[: len(x) * 2 // 3] for x in ss))
     assert hit == sum(map(len, TEXTS.values()))
 
 
 def test_labels_and_no_training_rows(spark):
     df = spark.createDataFrame([(1, "Nobody noticed it.", " EN-us ", "s"), (2, "x", "English", "s"), (3, None, "de", "s"), (4, "y", None, "s")], "doc_id long, text string, lang string, source string")
-    assert L.labelled_sample(df, "doc_id", "text", "lang") == (["Nobody noticed it."], ["en"])
-    assert [r.lang for r in L.document_languages(df.limit(0).union(df.filter("doc_id = 2")), "doc_id", "text", "lang").collect()] == ["en"]
+    assert L.labels_in_use(df, "lang") == ["de", "en"] and L.labels_in_use(df, "lang", 0.3) == []
+    assert L.labelled_sample(df, "doc_id", "text", "lang", ["en"]) == (["Nobody noticed it."], ["en"])
+    assert [r.lang for r in L.document_languages(df.limit(0).union(df.filter("doc_id = 2")), "doc_id", "text", "lang").collect()] == ["und"]
     assert L.document_languages(df.limit(0), "doc_id", "text", "lang").count() == 0
+
+
+def test_classes_come_from_the_labels(spark, weights):
+    texts = [(k, " ".join(TEXTS[lang]), lang) for k, lang in enumerate(("de", "fr", "es") * 4)]
+    wrong = [(100 + k, " ".join(TEXTS[lang]), "xx") for k, lang in enumerate(("de", "fr"))]
+    df = spark.createDataFrame(texts + wrong, "doc_id long, text string, lang string")
+    got = {r.id: r.lang for r in L.document_languages(df, "doc_id", "text", "lang").collect()}
+    assert got == {**{k: lang for k, _, lang in texts}, 100: "de", 101: "fr"}  # xx is no language
+    other = docs(spark, [(1, "שלום לכולם ותודה רבה על הכול", "x")])
+    assert [r.lang for r in L.identify(other, "doc_id", "text", *weights).collect()] == ["und"]
+
+
+def test_markup_of_any_length_goes_and_text_stays():
+    long = "x" * 5000
+    assert L.sentences(f'<a href="{long}">Hallo Welt.</a>') == ["hallo welt"]
+    assert L.sentences(f'[{long}] key="a b" Guten Tag, k=v; x=<b>alle</b>') == ["guten tag alle"]
+    assert L.sentences("3 < 5 and 7 > 2. &amp; so on") == ["and", "so on"]
+    assert L.sentences("see blue_sky_(old) at https://x.y/z?q=1 now") == ["see at now"]
+    assert L.sentences("photo-1.PNG: gone\ntags: a, b\nEnde") == ["gone", "ende"]
+    assert L.sentences("_" * 100_000 + "a" * 100_000 + "<" * 100_000) == []  # a tag, and no text

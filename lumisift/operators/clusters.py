@@ -13,7 +13,7 @@ from .graph import components, cosine_pairs
 from .numbering import numbered
 
 
-def complete_linkage_clusters(vectors: DataFrame, floor: float, id_col: str = "vec_id", vec_col: str = "embedding", path_col: str | None = None, largest: int = 8000) -> DataFrame:
+def complete_linkage_clusters(vectors: DataFrame, floor: float, id_col: str = "vec_id", vec_col: str = "embedding", path_col: str | None = None, largest: int = 8000, pairs: DataFrame | None = None) -> DataFrame:
     """(id, cluster_id): complete-linkage clusters cut at cosine ``floor``, numbered from 0 by their first path.
 
     A cluster lies inside one component of the graph of pairs at the floor, so components are
@@ -21,6 +21,9 @@ def complete_linkage_clusters(vectors: DataFrame, floor: float, id_col: str = "v
     (:func:`link_by_rounds`). Equal vectors are folded into their smallest id first, as they are joined first
     anyway. Of one cluster no pair is below the floor. Records whose vector
     cannot be compared are singletons; an empty table gives no rows.
+
+    Without ``pairs`` all distinct vectors are compared (:func:`graph.cosine_pairs`, exact and quadratic). Larger
+    collections hand in ``pairs`` (src, dst, sim), src < dst, between the smallest ids of equal vectors, from an index.
     """
     ids = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
     usable = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -31,7 +34,7 @@ def complete_linkage_clusters(vectors: DataFrame, floor: float, id_col: str = "v
     equal = usable.withColumn("whole", F.forall("v", lambda x: F.abs(x) < 1e150) & F.exists("v", lambda x: F.abs(x) > 1e-12))
     first = cut(equal.groupBy("v", F.when(~F.col("whole"), F.col("id")).alias("own")).agg(F.min("id").alias("node"), F.collect_set("id").alias("ids")), "equal")
     of = first.select("node", F.explode("ids").alias("id"))
-    pairs = cut(cosine_pairs(first, floor, "node", "v"), "pairs")
+    pairs = cut(cosine_pairs(first.select("node", F.col("v").cast(vectors.schema[vec_col].dataType).alias("v")), floor, "node", "v") if pairs is None else pairs.filter(F.col("sim") >= floor).select("src", "dst", "sim"), "pairs")
     nodes = first.select("node").union(ids.join(of, "id", "left_anti").select(F.col("id").alias("node")))
     comp = cut(components(nodes, pairs), "components")
     inside = pairs.join(comp.select(F.col("node").alias("src"), "component", F.col("size").alias("n")), "src")
@@ -104,23 +107,47 @@ def number(members: DataFrame) -> DataFrame:
     return members.join(ids.select("group", "cluster_id"), "group")
 
 
-def _dots(members: DataFrame) -> DataFrame:
-    """Dot products within clusters: each member is set against its own cluster's others in numpy, in blocks."""
+def _totals(members: DataFrame) -> DataFrame:
+    """(cluster_id, total): the sum of each cluster's vectors; each batch is summed before the shuffle."""
+
+    def partial(batches):
+        for p in batches:
+            if len(p):
+                code, ids = pd.factorize(p["cluster_id"])
+                part = np.zeros((len(ids), len(p["v"].iloc[0])))
+                np.add.at(part, code, np.array(p["v"].tolist(), dtype=float))
+                yield pd.DataFrame({"cluster_id": ids, "part": list(part)})
+
+    parts = members.select("cluster_id", "v").mapInPandas(partial, "cluster_id long, part array<double>")
+    cells = parts.select("cluster_id", F.posexplode("part").alias("k", "x")).groupBy("cluster_id", "k").agg(F.sum("x").alias("x"))
+    return cells.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda c: c["x"]).alias("total"))
+
+
+def _dot(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _lowest(members: DataFrame, block: int = 4096) -> DataFrame:
+    """(cluster_id, lowest): the least dot product between two members, 1 for one member; exact.
+
+    A cluster's blocks meet each other once, one bounded product a task, of which only the minimum leaves it.
+    """
+    size = members.groupBy("cluster_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    t = members.select("cluster_id", "id", "v").join(size, "cluster_id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = t.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster_id", "v", "mine", F.least("mine", "o").alias("x"), F.greatest("mine", "o").alias("y"))
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("pos")
-        m = np.array(p.v.tolist(), dtype=float)
-        sums, low = np.zeros(len(m)), np.ones(len(m))
-        for lo in range(0, len(m), 2048):
-            s = m[lo : lo + 2048] @ m.T
-            sums[lo : lo + 2048] = s.sum(1)
-            s[np.arange(len(s)), lo + np.arange(len(s))] = 1.0
-            low[lo : lo + 2048] = s.min(1)
-        k = int(np.round(sums, 9).argmax())
-        to = m @ m[k]
-        return pd.DataFrame({"cluster_id": p.cluster_id, "id": p.id, "path": p.path, "pos": p.pos, "is_medoid": np.arange(len(m)) == k, "sim_to_medoid": np.clip(to, -1, 1), "lowest": float(np.clip(low.min(), -1, 1)) if len(m) > 1 else 1.0})
+    def least(p: pd.DataFrame) -> pd.DataFrame:
+        x, y = p.x.iloc[0], p.y.iloc[0]
+        matrix = lambda k: np.array(p.v[p.mine == k].tolist(), dtype=float)
+        a, b, low = matrix(x), matrix(y), 1.0
+        for lo in range(0, len(a), 1024) if len(b) else ():
+            s = a[lo : lo + 1024] @ b.T
+            if x == y:
+                s[np.arange(len(s)), lo + np.arange(len(s))] = 1.0
+            low = min(low, float(s.min()))
+        return pd.DataFrame({"cluster_id": [p.cluster_id.iloc[0]], "low": [max(low, -1.0)]})
 
-    return members.groupBy("cluster_id").applyInPandas(run, "cluster_id long, id long, path string, pos long, is_medoid boolean, sim_to_medoid double, lowest double")
+    return met.groupBy("cluster_id", "x", "y").applyInPandas(least, "cluster_id long, low double").groupBy("cluster_id").agg(F.min("low").alias("lowest"))
 
 
 def medoids(members: DataFrame) -> DataFrame:
@@ -128,12 +155,18 @@ def medoids(members: DataFrame) -> DataFrame:
 
     The medoid has the highest sum of dot products, ties to the first position; backups are ranked by
     (similarity to the medoid descending, path). ``lowest`` is the least similarity within the cluster, 1 for one member.
-    Clusters are the tight, reviewable groups of :func:`complete_linkage_clusters`, each of which fits a task.
+    A member's sum of products is its product with the cluster's sum, so clusters of any size are
+    handled by joins; only ``lowest`` compares all pairs, in blocks.
     """
-    d = _dots(members)
-    w = Window.partitionBy("cluster_id")
-    ranked = d.withColumn("rank", F.row_number().over(w.orderBy(F.desc("is_medoid"), F.round("sim_to_medoid", 9).desc(), "path")) - 1)
-    return ranked.select("cluster_id", "id", F.when(F.col("is_medoid"), "medoid").otherwise("member").alias("role"), "rank", "sim_to_medoid", F.count("*").over(w).alias("size"), "lowest")
+    m = members.select("cluster_id", "id", "path", "pos", "v")
+    scored = m.join(_totals(m), "cluster_id").select("cluster_id", "id", "path", "pos", "v", F.round(_dot("v", "total"), 9).alias("s"))
+    best = scored.groupBy("cluster_id").agg(F.max_by(F.struct("id", "v"), F.struct("s", -F.col("pos"))).alias("best"), F.count("*").alias("size"))
+    to = m.join(best.select("cluster_id", F.col("best.id").alias("medoid"), F.col("best.v").alias("centre"), "size"), "cluster_id").join(_lowest(m), "cluster_id")
+    sim = F.greatest(F.least(_dot("v", "centre"), F.lit(1.0)), F.lit(-1.0))
+    d = to.select("cluster_id", "id", "path", (F.col("id") == F.col("medoid")).alias("is_medoid"), sim.alias("sim_to_medoid"), "size", "lowest")
+    order = Window.partitionBy("cluster_id").orderBy(F.desc("is_medoid"), F.round("sim_to_medoid", 9).desc(), "path")
+    ranked = d.withColumn("rank", F.row_number().over(order) - 1)
+    return ranked.select("cluster_id", "id", F.when(F.col("is_medoid"), "medoid").otherwise("member").alias("role"), "rank", "sim_to_medoid", "size", "lowest")
 
 
 def singletons(records: DataFrame, id_col: str = "image_id") -> DataFrame:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .numbering import numbered
 
 BOXES = "array<array<double>>"
@@ -41,6 +43,11 @@ def verdict(watermarks: Column, comics: Column) -> Column:
     return F.when(n(watermarks) > 0, "watermark_detected").when(n(comics) > 1, "comic_or_collage_detected")
 
 
+def candidate_path(rows: DataFrame) -> Column:
+    """The image that is looked at: the prepared one where there is one, else the file itself."""
+    return F.coalesce(F.nullif(F.col("prepared_path"), F.lit("")), "path") if "prepared_path" in rows.columns else F.col("path")
+
+
 def display_boxes(boxes: Column, width: Column, height: Column) -> Column:
     """Boxes in 0..1: as they are if all are, else of 1000 if any lies beyond the image, else of its size; clamped.
 
@@ -71,12 +78,18 @@ def inspect(candidates: DataFrame, watermark, comic) -> DataFrame:
 def retry_choices(failing: DataFrame, seed: int) -> DataFrame:
     """(cluster_id, choice): the position of the backup each failing cluster tries.
 
-    The draws follow one seeded stream in cluster order, and only clusters with backups draw, so a run can be repeated.
-    Failing clusters, not images, come to the driver.
+    The draws follow one seeded stream in cluster order, and only clusters with backups draw, so a run can be repeated. One task
+    draws: the stream's length in numbers depends on the numbers themselves. What passes through it is a row of two
+    numbers a failing cluster, in batches, and nothing comes to the driver.
     """
-    rng = random.Random(seed)
-    rows = [(r.cluster_id, rng.choice(range(r.backups))) for r in failing.filter("backups > 0").orderBy("cluster_id").toLocalIterator()]
-    return failing.sparkSession.createDataFrame(rows, "cluster_id long, choice int")
+
+    def draw(batches):
+        rng = random.Random(seed)
+        for p in batches:
+            yield pd.DataFrame({"cluster_id": p["cluster_id"], "choice": [rng.choice(range(b)) for b in p["backups"]]})
+
+    ordered = failing.filter("backups > 0").select("cluster_id", "backups").coalesce(1).sortWithinPartitions("cluster_id")
+    return cut(ordered.mapInPandas(draw, "cluster_id long, choice int"), "choices")
 
 
 def locate(ranked: DataFrame, watermark, comic, seed: int, retry: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -30,6 +30,24 @@ class Stages:
         return replace(self, clustering=self.clustering and self.embedding, graph=self.graph and self.embedding, retry=self.retry and self.locate)
 
 
+def between(low, high):
+    return lambda v: v is None or low <= v <= high
+
+
+def shares_of(keys: tuple[str, ...]):
+    """A check of target shares: exactly these keys, none negative, not all 0."""
+    return lambda t: t is not None and sorted(t) == sorted(keys) and all(v >= 0 for v in t.values()) and any(v > 0 for v in t.values())
+
+
+def checked(request, rules: dict) -> None:
+    """Raise for the first field (a dotted name leads into a map) whose value breaks its rule (test, what it must be)."""
+    for name, (holds, what) in rules.items():
+        first, _, key = name.partition(".")
+        value = getattr(request, first)
+        if not holds(value.get(key) if key else value):
+            raise ValueError(f"{name} must be {what}")
+
+
 @dataclass(frozen=True)
 class JobRequest:
     source_dir: str
@@ -42,15 +60,7 @@ class JobRequest:
     stages: Stages = field(default_factory=Stages)
 
     def __post_init__(self):
-        if not self.source_dir.strip():
-            raise ValueError("source_dir is empty")
-        if self.similarity_model not in MODELS:
-            raise ValueError(f"similarity_model must be one of {MODELS}")
-        if self.minimum_pixels is not None and not PIXELS[0] <= self.minimum_pixels <= PIXELS[1]:
-            raise ValueError("minimum_pixels is out of range")
-        for v in (self.linkage, self.graph_similarity):
-            if v is not None and not 0 <= v <= 1:
-                raise ValueError("a similarity must be within 0..1")
+        checked(self, JOB_RULES)
 
 
 @dataclass(frozen=True)
@@ -62,21 +72,25 @@ class FinalizeRequest:
     denylist: tuple[str, ...] = ()
 
     def __post_init__(self):
-        prefix = self.prefix.strip()
-        object.__setattr__(self, "prefix", prefix)
-        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]{0,63}", prefix):
-            raise ValueError("the prefix must be 1 to 64 letters, digits, - or _, not starting with - or _")
-        if not 1 <= self.target_size <= 10_000:
-            raise ValueError("target_size must be 1..10000")
-        if not 0.05 <= self.caption_threshold <= 0.95:
-            raise ValueError("caption_threshold must be .05...95")
-        for d, keys in TARGET_KEYS.items():
-            t = self.targets[d]
-            if set(t) != set(keys) or min(t.values()) < 0 or not sum(t.values()) > 0:
-                raise ValueError(f"targets of {d} need exactly {keys}, none negative, with a positive sum")
-        if len(self.denylist) > 500:
-            raise ValueError("denylist has more than 500 entries")
-        object.__setattr__(self, "denylist", tuple(sorted({x.strip() for x in self.denylist if x.strip()}, key=lambda x: (x.casefold(), x))))
+        entries = dict.fromkeys(filter(None, map(str.strip, self.denylist)))
+        vars(self).update(prefix=self.prefix.strip(), denylist=tuple(sorted(entries, key=lambda x: (x.casefold(), x))))
+        checked(self, FINALIZE_RULES)
+
+
+JOB_RULES = {
+    "source_dir": (str.strip, "a folder"),
+    "similarity_model": (MODELS.__contains__, f"one of {MODELS}"),
+    "minimum_pixels": (between(*PIXELS), "within {}..{}".format(*PIXELS)),
+    "linkage": (between(0, 1), "within 0..1"),
+    "graph_similarity": (between(0, 1), "within 0..1"),
+}
+FINALIZE_RULES = {
+    **{f"targets.{d}": (shares_of(keys), f"shares of {keys}, none negative, with a positive sum") for d, keys in TARGET_KEYS.items()},
+    "denylist": (lambda v: len(v) <= 500, "at most 500 entries"),
+    "caption_threshold": (between(0.05, 0.95), "within .05...95"),
+    "target_size": (between(1, 10_000), "within 1..10000"),
+    "prefix": (re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{0,63}").fullmatch, "1 to 64 letters, digits, - or _, not starting with - or _"),
+}
 
 
 class Job:

@@ -32,7 +32,7 @@ class Settings:
 
 
 def filter_images(images: DataFrame, vectors: DataFrame | None, watermark, comic, s: Settings) -> dict[str, DataFrame]:
-    """manifest, clusters (ranked members) and counters of ``images`` (image_id, path, sha256, width, height).
+    """manifest, clusters (ranked members), counters, graph_audit and accounts (kept and excluded) of ``images`` (image_id, path, sha256, width, height).
 
     ``vectors`` is (image_id, embedding); an image without a usable one stays a cluster of its own. An
     empty core keeps no cluster, hence no image.
@@ -53,17 +53,18 @@ def filter_images(images: DataFrame, vectors: DataFrame | None, watermark, comic
     else:
         ranked = cut(clusters.singletons(kept).withColumns({"rank": F.lit(0), "cluster_id": F.col("cluster_id").cast("long"), "size": F.lit(1).cast("long"), "lowest": F.lit(1.0)}), "clusters")
     nodes = ranked.filter("rank = 0").select(F.col("cluster_id").alias("node"))
-    audit = None
+    sizes, (nodes, audit) = ranked.filter("rank = 0").select("cluster_id", "size"), graph.bypassed(nodes)
     if stages.graph and vectors is not None:
         medoid = ranked.filter("rank = 0").join(kept.select(F.col("image_id").alias("id")).join(vectors.withColumnRenamed("image_id", "id"), "id"), "id")
         edges = cut(graph.mutual_top_k(graph.cosine_pairs(medoid, s.graph_similarity, "cluster_id", "embedding"), s.neighbors), "edges")
         nodes, audit = graph.keep_largest(nodes, edges, s.core_degree)
+    accounts = graph.accounting(sizes, nodes)
     ranked = ranked.join(nodes.select(F.col("node").alias("cluster_id")), "cluster_id", "left_semi")
     if stages.locate:
         manifest, counters = inspection.locate(ranked, watermark, comic, s.seed, stages.retry)
     else:
         manifest, counters = inspection.bypass(ranked), None
-    return {"stats": stats, "clusters": ranked, "graph_audit": audit, "manifest": cut(manifest, "manifest"), "counters": counters}
+    return {"stats": stats, "clusters": ranked, "graph_audit": audit, "accounts": accounts, "manifest": cut(manifest, "manifest"), "counters": counters}
 
 
 def curate(manifest: DataFrame, tags: DataFrame, aliases: DataFrame, closure: DataFrame, s: Settings) -> dict[str, DataFrame]:

@@ -53,7 +53,8 @@ def write_listing(rows: DataFrame, path: str | Path, key: str, head: dict) -> No
     fd, part = tempfile.mkstemp(dir=path.parent, prefix=path.name, suffix=".part")
     try:
         with os.fdopen(fd, "w", encoding="utf-8") as f:
-            f.write(json.dumps(head, default=json_value, ensure_ascii=False)[:-1] + (", " if head else "") + json.dumps(key) + ": [")
+            start = json.dumps(head, default=json_value, ensure_ascii=False)[:-1]
+            f.write(start + (", " if head else "") + json.dumps(key) + ": [")
             for k, r in enumerate(text.toLocalIterator()):
                 f.write((",\n" if k else "\n") + r.t)
             f.write("\n]}\n")

@@ -32,17 +32,28 @@ def test_stream_equals_batch(spark, tmp_path):
     q = None
     for k in range(0, len(ROWS), 2):
         spark.createDataFrame(ROWS[k : k + 2], E.SCHEMA).write.mode("append").parquet(folder)
-        q = q or E.follow_stats(spark, folder, "folded", str(tmp_path / "check"))
+        q = q or E.follow_stats(spark, folder, str(tmp_path / "folded"), str(tmp_path / "check"))
         q.processAllAvailable()
     q.stop()
     batch = spark.read.schema(E.SCHEMA).parquet(folder)
-    assert {tuple(r) for r in spark.table("folded").collect()} == {tuple(r) for r in E.stats(batch).collect()}
+    assert {tuple(r) for r in E.read_stats(spark, str(tmp_path / "folded")).collect()} == {tuple(r) for r in E.stats(batch).collect()}
     q = E.follow_replay(spark, folder, 1, str(tmp_path / "out"), str(tmp_path / "check2"))
     q.processAllAvailable()
     q.stop()
     assert {(r.job_id, r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 2), ("a", 3)}
 
 
+def test_sources_are_kept_apart(spark):
+    audit = lambda *m: json.dumps({"event": "clusters_ready", "clusters": [{"cluster_id": 0, "members": [{"image_id": i, "role": "medoid", "sim": 1.0, "source": p} for i, p in m]}]})
+    rows = [("a", 1, "c", "", "", 0.5, T, {"cluster_audit": audit(("1", "/in/x"), ("2", None), (None, "/in/y"))}), ("a", 2, "c", "", "", 0.5, T, {"cluster_audit": audit(("1", "/in/z")), "n": "1"}), ("a", 3, "c", "", "", 0.5, T, {"cluster_audit": '{"event": "graph_filtered"}'}), ("b", 1, "c", "", "", 0.5, T, None)]
+    e = spark.createDataFrame(rows, E.SCHEMA)
+    assert [tuple(r) for r in E.audit_sources(e).collect()] == [("a", "1", "/in/z")]
+    data = [r.data for r in E.shown(e).orderBy("job_id", "id").collect()]
+    assert "/in" not in json.dumps(data) and json.loads(data[0]["cluster_audit"])["clusters"][0]["members"][0] == {"image_id": "1", "role": "medoid", "sim": 1.0}
+    assert data[1]["n"] == "1" and data[2] == {"cluster_audit": '{"event": "graph_filtered"}'} and data[3] is None
+    assert len(spark.range(1).select(E.top_tags(F.sequence(F.lit(1), F.lit(12)))).first()[0]) == 8
+
+
 def test_review_log_and_views(spark):
     m = spark.createDataFrame([(0, "passed", "o/0", None, "medoid"), (1, "passed", "o/1", None, "backup_retry"), (2, "not_meet", None, "watermark_detected", "dropped")], "index long, status string, output string, reason string, candidate_role string")
     act = spark.createDataFrame([(1, 0, "remove", T), (2, 0, "restore", T), (3, 1, "remove", T), (4, 2, "remove", T)], "seq long, index long, action string, at timestamp")

@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from lumisift.operators import clusters, graph
 from lumisift.functions.linkage import complete_linkage
@@ -27,13 +26,12 @@ def test_empty_core_keeps_nothing(spark):
     assert kept.count() == 0 and audit.first().components == 0
 
 
-@pytest.mark.parametrize("small", [0, graph.SMALL])
-def test_core_and_components_both_ways(spark, small):
+def test_core_and_components(spark):
     # a square with a tail, and a triangle; the square has more nodes
     e = [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4), (5, 6), (6, 7), (5, 7)]
     edges = spark.createDataFrame([(a, b, 1.0) for a, b in e], "src long, dst long, sim double")
-    assert sorted(r.node for r in graph.k_core(nodes(spark, 9), edges, 2, small).collect()) == [0, 1, 2, 3, 5, 6, 7]
-    comp = {r.node: (r.component, r["size"]) for r in graph.components(nodes(spark, 9), edges, small).collect()}
+    assert sorted(r.node for r in graph.k_core(nodes(spark, 9), edges, 2).collect()) == [0, 1, 2, 3, 5, 6, 7]
+    comp = {r.node: (r.component, r["size"]) for r in graph.components(nodes(spark, 9), edges).collect()}
     assert comp == {**{i: (1, 5) for i in range(5)}, **{i: (2, 3) for i in (5, 6, 7)}, 8: (3, 1)}
 
 
@@ -106,3 +104,48 @@ def test_components_over_the_bound_are_linked_too(spark):
         return {tuple(sorted(g)) for g in groups.values()}
 
     assert found(3) == want == found(8000) and max(map(len, want)) >= 20
+
+
+def test_long_paths_and_deep_peeling(spark):
+    e = [(i, i + 1, 1.0) for i in range(40)] + [(50, 51, 1.0), (51, 52, 1.0), (50, 52, 1.0), (40, 50, 1.0)]
+    edges = spark.createDataFrame(e, "src long, dst long, sim double")
+    assert sorted(r.node for r in graph.k_core(nodes(spark, 60), edges, 2).collect()) == [50, 51, 52]
+    comp = {r.node: r.component for r in graph.components(nodes(spark, 60), edges).collect()}
+    assert {k for k, c in comp.items() if c == 1} == {*range(41), 50, 51, 52} and len(set(comp.values())) == 17
+
+
+def test_a_large_cluster_is_handled_by_joins(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    of = np.where(np.arange(300) % 3 == 0, 7, np.arange(300) % 5)
+    rows = [(int(of[i]), i, f"p{i:03d}", i, x[i].tolist()) for i in range(300)]
+    m = spark.createDataFrame(rows, "cluster_id long, id long, path string, pos long, v array<double>").repartition(5)
+    got = {}
+    for r in clusters.medoids(m).collect():
+        got.setdefault(r.cluster_id, []).append((r["rank"], r.id, r.role, r.sim_to_medoid, r["size"], r.lowest))
+    low = {r.cluster_id: r.lowest for r in clusters._lowest(m.select("cluster_id", "id", "v"), block=7).collect()}
+    for c in np.unique(of):
+        k = np.flatnonzero(of == c)
+        s = x[k] @ x[k].T
+        med = k[s.sum(1).round(9).argmax()]
+        order = sorted(k, key=lambda i: (i != med, -round(float(x[i] @ x[med]), 9), f"p{i:03d}"))
+        mine = sorted(got[c])
+        assert [i for _, i, *_ in mine] == order and mine[0][2] == "medoid" and mine[0][4] == len(k)
+        assert abs(mine[0][5] - s[~np.eye(len(k), dtype=bool)].min()) < 1e-9 and abs(low[c] - mine[0][5]) < 1e-9
+
+
+def test_given_pairs_take_the_place_of_the_search(spark):
+    v = vectors(spark, [[1, 0], [1, 0.01], [0, 1], [0.01, 1]])
+    pairs = spark.createDataFrame([(0, 1, 0.99), (2, 3, 0.2)], "src long, dst long, sim double")
+    got = {r.id: r.cluster_id for r in clusters.complete_linkage_clusters(v, 0.9, pairs=pairs).collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 2}
+
+
+def test_a_filter_switched_off_and_its_accounts(spark):
+    kept, audit = graph.bypassed(nodes(spark, 3))
+    assert kept.count() == 3 and audit.first().asDict() == {"nodes": 3, "edges": 0, "nodes_with_edges": 0, "core_nodes": 3, "components": 1}
+    assert graph.bypassed(nodes(spark, 3).limit(0))[1].first().components == 0
+    sizes = spark.createDataFrame([(0, 5), (1, 2), (2, 1)], "cluster_id long, size long")
+    assert graph.accounting(sizes, nodes(spark, 2)).first().asDict() == {"kept_clusters": 2, "excluded_clusters": 1, "kept_images": 7, "excluded_images": 1}
+    assert graph.accounting(sizes.limit(0), nodes(spark, 2)).first().asDict() == {"kept_clusters": 0, "excluded_clusters": 0, "kept_images": 0, "excluded_images": 0}

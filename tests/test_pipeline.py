@@ -20,7 +20,9 @@ def filtered(spark, stages, vectors=None, boxes=()):
 
 def test_everything_switched_off(spark):
     got = filtered(spark, Stages(deduplicate=False, resolution_filter=False, embedding=False, locate=False))
-    assert sorted(r.id for r in got["manifest"].collect()) == [1, 2, 3, 4, 6] and got["counters"] is None and got["graph_audit"] is None
+    assert sorted(r.id for r in got["manifest"].collect()) == [1, 2, 3, 4, 6] and got["counters"] is None
+    assert got["graph_audit"].first().asDict() == {"nodes": 5, "edges": 0, "nodes_with_edges": 0, "core_nodes": 5, "components": 1}
+    assert got["accounts"].first().asDict() == {"kept_clusters": 5, "excluded_clusters": 0, "kept_images": 5, "excluded_images": 0}
     assert {r.candidate_role for r in got["manifest"].collect()} == {"locate_bypassed"}
 
 

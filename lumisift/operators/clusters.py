@@ -112,10 +112,10 @@ def _totals(members: DataFrame) -> DataFrame:
 
     def partial(batches):
         for p in batches:
-            if len(p):
-                code, ids = pd.factorize(p["cluster_id"])
-                part = np.zeros((len(ids), len(p["v"].iloc[0])))
-                np.add.at(part, code, np.array(p["v"].tolist(), dtype=float))
+            for _, q in p.groupby(p["v"].map(len)):  # a cluster's vectors are of one length, those of singletons may differ
+                code, ids = pd.factorize(q["cluster_id"])
+                part = np.zeros((len(ids), len(q["v"].iloc[0])))
+                np.add.at(part, code, np.array(q["v"].tolist(), dtype=float))
                 yield pd.DataFrame({"cluster_id": ids, "part": list(part)})
 
     parts = members.select("cluster_id", "v").mapInPandas(partial, "cluster_id long, part array<double>")

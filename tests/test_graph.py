@@ -149,3 +149,9 @@ def test_a_filter_switched_off_and_its_accounts(spark):
     sizes = spark.createDataFrame([(0, 5), (1, 2), (2, 1)], "cluster_id long, size long")
     assert graph.accounting(sizes, nodes(spark, 2)).first().asDict() == {"kept_clusters": 2, "excluded_clusters": 1, "kept_images": 7, "excluded_images": 1}
     assert graph.accounting(sizes.limit(0), nodes(spark, 2)).first().asDict() == {"kept_clusters": 0, "excluded_clusters": 0, "kept_images": 0, "excluded_images": 0}
+
+
+def test_singletons_of_other_lengths(spark):
+    rows = [(0, 0, "a", 0, [1.0, 0.0]), (0, 1, "b", 1, [0.0, 1.0]), (1, 2, "c", 2, [0.0]), (2, 3, "d", 3, [1.0, 0.0, 0.0])]
+    m = spark.createDataFrame(rows, "cluster_id long, id long, path string, pos long, v array<double>").coalesce(1)
+    assert {(r.cluster_id, r.id, r["rank"], r["size"], r.lowest) for r in clusters.medoids(m).collect()} == {(0, 0, 0, 2, 0.0), (0, 1, 1, 2, 0.0), (1, 2, 0, 1, 1.0), (2, 3, 0, 1, 1.0)}

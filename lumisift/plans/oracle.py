@@ -1,10 +1,10 @@
-"""DuckDB SQL of the tag rules, generated from the same rule tables: one common table per stage and rule."""
+"""DuckDB SQL of the tag rules: one common table per stage and rule, the rules written out apart from the engine's."""
 
 from __future__ import annotations
 
 from ..functions import vocab as V
 from ..functions.text import tag_form_sql
-from ..operators.tagrules import CaptionLimits, conflict_rules
+from ..operators.tagrules import CaptionLimits
 
 
 def _in(names) -> str:
@@ -22,6 +22,59 @@ def category(c: str) -> str:
     )
 
 
+def expected_rules(limits: CaptionLimits) -> list[dict]:
+    """The conflict rules as the specification orders them, written out here a second time for the SQL."""
+    rules = []
+
+    def only(stage, members, odd=(), kept=1, kept_with_odd=None, margin=limits.exclusive_margin, pair=False, solo=True):
+        rules.append({"kind": "only", "stage": stage, "members": members, "keep": kept, "others": list(odd), "keep_if": kept if kept_with_odd is None else kept_with_odd, "margin": margin, "reason": "pair_conflict" if pair else "exclusive", "solo": solo, "least": 0})
+
+    def needs(stage, members, losers, least, solo):
+        rules.append({"kind": "prop", "stage": stage, "members": members, "others": losers, "least": least, "margin": 0.0, "reason": "support", "solo": solo})
+
+    only(6, V.EYE_COLOR, V.EYE_COLOR_EXCEPTIONS, kept_with_odd=2)
+    needs(6, V.EYE_COLOR, V.EYE_COLOR_EXCEPTIONS, 2, True)
+    only(6, V.HAIR_COLOR, V.HAIR_COLOR_EXCEPTIONS, kept_with_odd=2)
+    needs(6, V.HAIR_COLOR, V.HAIR_COLOR_EXCEPTIONS, 2, True)
+    only(6, V.HAIR_LENGTH)
+    only(6, V.EYE_STATE)
+    only(6, V.MOUTH_STATE)
+    only(6, V.BREAST_SIZE, V.BREAST_SIZE_EXCEPTIONS, kept_with_odd=2)
+    only(6, V.AGE, margin=1e300)  # more than one age: none is kept
+    rules.append({"kind": "feet", "stage": 6, "members": V.FOOTWEAR, "others": V.FOOTWEAR_EXCEPTIONS, "margin": limits.pair_margin, "reason": "pair_conflict", "solo": True})
+    for pair in V.SOLO_PAIRS:
+        only(6, pair, margin=limits.pair_margin, pair=True)
+    only(7, V.BACKGROUND_COLOR, V.BACKGROUND_COLOR_EXCEPTIONS, kept_with_odd=2, solo=False)
+    only(7, V.TIME, V.TIME_EXCEPTIONS, kept_with_odd=1000000, solo=False)
+    only(7, V.CAMERA_ANGLE, V.MULTI_VIEW, kept_with_odd=1000000, solo=False)
+    for pair in V.GLOBAL_PAIRS:
+        only(7, pair, margin=limits.pair_margin, pair=True, solo=False)
+    for concept, proof in V.SUPPORT.items():
+        needs(8, proof, [concept], 2 if concept == "pet_play" else 1, False)
+    return rules
+
+
+def _removal(prev: str, name: str, r: dict) -> str:
+    """(image_id, stage, tag, score, reason) of what one rule takes away."""
+    gone = f"SELECT p.image_id, {r['stage']} AS stage, p.tag, p.score, "
+    without = f" FROM {prev} p ANTI JOIN {name} q USING (image_id, tag)"
+    if r["kind"] == "only":
+        kind = "pair_conflict" if r["reason"] == "pair_conflict" else "exclusive"
+        return f"SELECT g.image_id, {r['stage']} AS stage, g.tag, g.score, CASE WHEN c.clear THEN '{kind}_loser' ELSE '{kind}_ambiguous' END AS reason FROM ({gone}0{without}) g JOIN {name}_g c ON c.image_id = g.image_id"
+    if r["kind"] == "prop":
+        return gone + "'missing_support' AS reason" + without
+    return f"SELECT g.image_id, {r['stage']} AS stage, g.tag, g.score, CASE WHEN abs(bare - worn) < {r['margin']}::DOUBLE THEN 'pair_conflict_ambiguous' ELSE 'pair_conflict_loser' END AS reason FROM ({gone}0{without}) g JOIN {name}_f f ON f.image_id = g.image_id"
+
+
+def removals(limits: CaptionLimits) -> str:
+    """All removals of stages 6 to 8, from the tables of :func:`stages`."""
+    out, prev = [], "s5"
+    for i, r in enumerate(expected_rules(limits)):
+        out.append(_removal(prev, f"r{i}", r))
+        prev = f"r{i}"
+    return " UNION ALL ".join(out)
+
+
 def _rule(prev: str, name: str, r: dict) -> str:
     solo = " AND image_id IN (SELECT image_id FROM features WHERE people = '1')" if r["solo"] else ""
     odd = f"image_id IN (SELECT image_id FROM {prev} WHERE tag IN {_in(r['others'])})"
@@ -44,7 +97,7 @@ def stages(limits: CaptionLimits) -> str:
     t = limits.threshold
     need = f"CASE WHEN c IN {_in(V.EYE_COLOR + V.HAIR_COLOR + V.BACKGROUND_COLOR)} THEN {max(t, 0.55)} WHEN c IN {_in(V.BREAST_SIZE)} THEN {max(t, 0.60)} WHEN c IN {_in(V.HIGH_RISK + V.AGE)} THEN {max(t, limits.abstract)} ELSE {t} END::DOUBLE"
     steps, prev = [], "s5"
-    for i, r in enumerate(conflict_rules(limits)):
+    for i, r in enumerate(expected_rules(limits)):
         steps.append(_rule(prev, f"r{i}", r))
         prev = f"r{i}"
     budget = min(limits.soft, limits.hard) - 1

@@ -337,7 +337,31 @@ def distribution_share(spark, sf_dir):
     return review.shares(features.distribution_sets(_derived(spark, sf_dir)))
 
 
-@query("select_greedy")
+def _greedy_sql(size: int) -> str:
+    """The selection step by step: of the heads of all classes the one with the highest score, :func:`features.select`'s rule."""
+    known = {d: f"CASE WHEN {d} <> 'unknown' THEN {d}_confidence END" for d in features.DOMAIN}
+    total = " + ".join(f"coalesce({k}, 0.0::DOUBLE)" for k in known.values())
+    count = " + ".join(f"CASE WHEN {d} <> 'unknown' THEN 1 ELSE 0 END" for d in features.DOMAIN)
+
+    def gain(d):
+        want = "(CASE c[i]." + d + " " + " ".join(f"WHEN '{v}' THEN {w!r}::DOUBLE" for v, w in features.normalized(jobs.TARGETS[d]).items()) + " ELSE 0.0::DOUBLE END * lim)"
+        taken = f"list_sum(list_transform(range(1, len(c) + 1), lambda j: CASE WHEN c[j].{d} = c[i].{d} THEN took[j] ELSE 0 END))"
+        return f"CASE WHEN c[i].{d} = 'unknown' THEN 0.0::DOUBLE ELSE {features.WEIGHTS[d]}::DOUBLE * greatest({want} - {taken}, 0.0::DOUBLE) / greatest({want}, 1.0::DOUBLE) END"
+
+    score = " + ".join(gain(d) for d in features.DOMAIN)
+    keys = _KEYS.replace("SELECT image_id,", "SELECT image_id, people_confidence, framing_confidence, outdoors_confidence,")
+    return "WITH RECURSIVE " + _FEATS[len("WITH ") :] + keys + f""",
+means AS (SELECT *, CASE WHEN {count} > 0 THEN ({total}) / ({count}) ELSE 0.0::DOUBLE END AS m FROM keys),
+lists AS (SELECT people, framing, outdoors, list(m ORDER BY m DESC, image_id DESC)[1:{size}] AS ms, list(image_id ORDER BY m DESC, image_id DESC)[1:{size}] AS ids FROM means GROUP BY ALL),
+one AS (SELECT list({{'people': people, 'framing': framing, 'outdoors': outdoors, 'ms': ms, 'ids': ids}} ORDER BY people, framing, outdoors) AS c, (SELECT least({size}, count(*)) FROM keys) AS lim FROM lists),
+step(rank, image_id, took) AS (SELECT 0, NULL::BIGINT, list_transform(c, lambda x: 0) FROM one
+  UNION ALL SELECT rank + 1, best.image, list_transform(range(1, len(took) + 1), lambda i: took[i] + CASE WHEN i = best.i THEN 1 ELSE 0 END) FROM (
+    SELECT rank, took, list_sort(list_transform(list_filter(range(1, len(c) + 1), lambda i: took[i] < len(c[i].ids)),
+      lambda i: {{'s': {score} + 0.1::DOUBLE * c[i].ms[took[i] + 1], 'm': c[i].ms[took[i] + 1], 'image': c[i].ids[took[i] + 1], 'i': i}}), 'DESC')[1] AS best FROM step, one WHERE rank < lim))
+SELECT image_id, rank FROM step WHERE rank > 0"""
+
+
+@query("select_greedy", _greedy_sql(200))
 def select_greedy(spark, sf_dir):
     return features.select(cut(_derived(spark, sf_dir), "features"), 200, jobs.TARGETS)
 

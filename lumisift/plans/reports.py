@@ -33,7 +33,7 @@ def tagged_items(manifest: DataFrame, tags: DataFrame, root: str, workflow: str
     named = derived.select(F.col("image_id").alias("manifest_index"), F.struct(part("people").alias("people_count"), part("framing").alias("framing"), part("outdoors").alias("outdoors")).alias("selection_features"))
     empty = F.create_map().cast("map<string,double>")
     return items.join(named, "manifest_index").join(listed, "manifest_index", "left").select(
-        F.lpad(F.col("manifest_index").cast("string"), 6, "0").alias("image_id"), "path", "manifest_index", "selection_features", F.coalesce("general_tags", empty).alias("general_tags"))
+        F.format_string("%06d", F.col("manifest_index")).alias("image_id"), "path", "manifest_index", "selection_features", F.coalesce("general_tags", empty).alias("general_tags"))
 
 
 def _inside(root: str):

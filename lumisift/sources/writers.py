@@ -78,7 +78,7 @@ def inside(path: str | Path, root: str | Path) -> Path:
 
 def output_names(manifest: DataFrame) -> DataFrame:
     """Adds ``name``: five-digit place in the whole manifest and the file's name; only of passed items."""
-    return manifest.withColumn("name", F.when(F.col("status") == "passed", F.concat(F.lpad(F.col("index").cast("string"), 5, "0"), F.lit("_"), file_name(F.col("source")))))
+    return manifest.withColumn("name", F.when(F.col("status") == "passed", F.concat(F.format_string("%05d", F.col("index").cast("long")), F.lit("_"), file_name(F.col("source")))))
 
 
 def copy_files(pairs: DataFrame) -> int:
@@ -107,7 +107,7 @@ def training_names(chosen: DataFrame) -> DataFrame:
     """Adds ``training_image`` and ``caption_file``; of equal file names all but the first in rank take the six-digit manifest index before them."""
     name = file_name(F.col("source"))
     again = F.row_number().over(Window.partitionBy("_name").orderBy("rank")) > 1
-    t = chosen.withColumn("_name", name).withColumn("training_image", F.when(again, F.concat(F.lpad(F.col("manifest_index").cast("string"), 6, "0"), F.lit("_"), "_name")).otherwise(F.col("_name")))
+    t = chosen.withColumn("_name", name).withColumn("training_image", F.when(again, F.concat(F.format_string("%06d", F.col("manifest_index").cast("long")), F.lit("_"), "_name")).otherwise(F.col("_name")))
     return t.withColumn("caption_file", F.concat(F.regexp_replace("training_image", r"\.[^.]*$", ""), F.lit(".txt"))).drop("_name")
 
 

@@ -3,11 +3,13 @@ import os
 import duckdb
 import pytest
 
+from lumisift.plans import checks  # noqa: F401
 from lumisift.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-NAMES = ["scan_stats", "path_order", "graph_audit", "backups", "cluster_numbering", "box_normalize", "features_people", "distribution", "tag_conflicts", "caption_join", "dag_reduction", "p4_found", "p4_descendants", "candidate_sources", "event_stats_fold", "review_latest", "audit_view", "stored_denylist"]
+NAMES = ["scan_stats", "path_order", "graph_audit", "backups", "cluster_numbering", "box_normalize", "features_people", "distribution", "tag_conflicts", "caption_join", "dag_reduction", "p4_found", "p4_descendants", "candidate_sources", "event_stats_fold", "review_latest", "audit_view", "stored_denylist",
+         "stored_tags", "training_names", "event_sources", "retry_outcomes", "box_answers", "selection_report", "caption_removals", "override_relations", "compiled_rules", "review_merge", "validated_rules", "select_greedy"]
 
 
 @pytest.fixture(scope="module")

@@ -3,8 +3,8 @@
 Tags travel as a long table (image_id, ord, tag, score). A stage takes such a table and
 returns (kept, audit); audit rows are (image_id, stage, ord, tag, score, reason,
 details). All stages group by image_id, so one exchange serves the whole chain. Only
-the conflict rules depend on each other's outcome one after the other: they are a fold over a list
-of rule structs within each image's array.
+the conflict rules depend on each other's outcome one after the other: they are folded over Arrow
+batches of whole images.
 
 Null scores and null or blank tags are no tags; repeated tags keep their first position
 and highest score; an image without tags has no row in the long table.
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,115 +184,126 @@ def conflict_rules(limits: CaptionLimits) -> list[dict]:
     return rules
 
 
-_RULE = "array<struct<kind:string,stage:int,members:array<string>,keep:int,others:array<string>,keep_if:int,margin:double,reason:string,solo:boolean,least:int>>"
 _ENTRY = "array<struct<ord:bigint,tag:string,score:double,guard:int>>"
-_LOG = "array<struct<ord:bigint,tag:string,score:double,stage:int,reason:string,details:map<string,string>>>"
+_RESOLVED = (
+    "image_id {id}, ord long, tag string, score double, guard int, stage int, reason string, winners string, winner string, winner_score double, "
+    "group string, margin double, least int, found string"
+)
+_WHY = ["winners", "winner", "winner_score", "group", "margin", "least", "found"]
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _resolver(rules: list[dict]):
+    """The fold of all rules over a batch of images, each rule in one pass over all their tags.
 
-
-def _ranked(a: Column) -> Column:
-    """Entries by (score descending, tag)."""
-    return F.transform(F.array_sort(F.transform(a, lambda x: F.struct((-x["score"]).alias("s"), x["tag"].alias("t"), x.alias("x")))), lambda e: e["x"])
-
-
-def _by_name(a: Column) -> Column:
-    return F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["tag"].alias("t"), x.alias("x")))), lambda e: e["x"])
-
-
-def _names(a: Column) -> Column:
-    return F.transform(a, lambda x: x["tag"])
-
-
-def _text(a: Column) -> Column:
-    return F.array_join(a, ",")
-
-
-def _only(r, hits, odd, none):
-    """(gone, reason, details): keep the best, or drop all if the margin is too small."""
-    pair = r["reason"] == "pair_conflict"
-
-    def body(f):
-        top = F.get(hits, F.lit(0))
-        gone = F.when(F.size(hits) <= f["keep"], none).when(f["clear"], F.slice(hits, f["keep"] + 1, F.greatest(F.size(hits), F.lit(1)))).otherwise(hits)
-        reason = F.when(f["clear"], F.when(pair, "pair_conflict_loser").otherwise("exclusive_loser")).otherwise(F.when(pair, "pair_conflict_ambiguous").otherwise("exclusive_ambiguous"))
-        why = _details(
-            winners=F.when(f["clear"] & ~pair, _text(_names(F.slice(hits, 1, f["keep"])))), winner=F.when(f["clear"] & pair, top["tag"]), winner_score=F.when(f["clear"] & pair, top["score"]),
-            group=F.when(~f["clear"], _text(F.when(r["reason"] == "age", F.array_sort(_names(hits))).otherwise(_names(hits)))), margin=F.when(r["reason"] != "age", f["gap"]))
-        return _result(gone, reason, why)
-
-    keep = F.when(F.size(odd) > 0, r["keep_if"]).otherwise(r["keep"])
-    gap = F.get(hits, keep - 1)["score"] - F.get(hits, keep)["score"]
-    return _let(F.struct(keep.alias("keep"), gap.alias("gap"), (gap >= r["margin"]).alias("clear")), body)
-
-
-def _prop(r, hits, odd, none):
-    support = r["reason"] == "support"
-    why = _details(minimum_support_count=F.when(support, r["least"]), support_found=F.when(support, _text(F.array_sort(_names(hits)))))
-    return _result(F.when(F.size(hits) < r["least"], _by_name(odd)).otherwise(none), F.lit("missing_support"), why)
-
-
-def _feet(r, tags, hits, odd, none):
-    bare = F.filter(tags, lambda x: x["tag"] == "barefoot")
-
-    def body(f):
-        foot, worn, apart = f["foot"], f["worn"], f["apart"]
-        unclear, won = apart < r["margin"], foot > worn["score"]
-        gone = F.when((F.size(f["bare"]) == 0) | (F.size(hits) == 0) | (F.size(odd) > 0), none).when(unclear, _by_name(F.concat(f["bare"], hits))).when(won, _by_name(hits)).otherwise(f["bare"])
-        why = _details(
-            group=F.when(unclear, _text(F.concat(F.array(F.lit("barefoot")), F.array_sort(_names(hits))))), winner=F.when(~unclear, F.when(won, "barefoot").otherwise(worn["tag"])),
-            winner_score=F.when(~unclear, F.greatest(foot, worn["score"])), margin=apart)
-        return _result(gone, F.when(unclear, "pair_conflict_ambiguous").otherwise("pair_conflict_loser"), why)
-
-    # the best worn item: highest score, then the later name
-    worn = F.array_max(F.transform(hits, lambda x: F.struct(x["score"].alias("score"), x["tag"].alias("tag"))))
-    foot = F.get(bare, F.lit(0))["score"]
-    return _let(F.struct(bare.alias("bare"), foot.alias("foot"), worn.alias("worn"), F.abs(foot - worn["score"]).alias("apart")), body)
-
-
-def _result(gone, reason, why):
-    return F.struct(gone.alias("gone"), reason.alias("reason"), why.alias("why"))
-
-
-def _fold(state: Column, r: Column) -> Column:
-    tags = state["tags"]
-    none = F.slice(tags, 1, 0)
-    among = lambda names: F.filter(tags, lambda x: F.array_contains(names, x["tag"]))
-
-    def after(f):
-        seq = F.size(state["log"]).cast("bigint")
-        logged = F.transform(f["gone"], lambda x, i: F.struct((seq + i).alias("ord"), x["tag"].alias("tag"), x["score"].alias("score"), r["stage"].alias("stage"), f["reason"].alias("reason"), f["why"].alias("details")))
-        left = F.filter(tags, lambda x: ~F.array_contains(_names(f["gone"]), x["tag"]))
-        changed = F.struct(left.alias("tags"), F.concat(state["log"], logged).alias("log"), state["solo"].alias("solo"))
-        return F.when(F.size(f["gone"]) == 0, state).otherwise(changed)
-
-    def apply(h):
-        hits, odd = h["hits"], h["odd"]
-        by_kind = F.when(r["kind"] == "only", _only(r, hits, odd, none)).when(r["kind"] == "prop", _prop(r, hits, odd, none)).otherwise(_feet(r, tags, hits, odd, none))
-        # with nothing that could lose, the rule is over
-        idle = F.when(r["kind"] == "only", F.size(hits) < 2).when(r["kind"] == "prop", F.size(odd) == 0).otherwise(F.size(hits) == 0)
-        return F.when(idle, state).otherwise(_let(by_kind, after))
-
-    found = F.struct(_ranked(among(r["members"])).alias("hits"), among(r["others"]).alias("odd"))
-    return F.when(r["solo"] & ~state["solo"], state).otherwise(_let(found, apply))
+    Rows are (image_id, tags, solo); every tag comes out once: kept, without a stage, or with the stage, the
+    reason and the circumstances of its removal, ``ord`` then being its place among the removals of its image.
+    """
+    names = sorted({n for r in rules for n in [*r["members"], *r["others"]]} | {"barefoot"})  # a code orders as its name does
+    listed = lambda some: np.array([n in set(some) for n in names] + [False])
+    tables = [(r, listed(r["members"]), listed(r["others"])) for r in rules]
+    bare = names.index("barefoot")
+
+    def fold(code, score, img, solo):
+        alive, place, gone = np.ones(len(code), dtype=bool), np.zeros(len(solo), dtype=np.int64), []
+
+        def text(rows):
+            return ",".join(names[c] for c in code[rows])
+
+        def remove(rows, stage, reason, **why):
+            for row in rows:
+                gone.append((row, place[img[row]], stage, reason, *(why.get(k) for k in _WHY)))
+                place[img[row]] += 1
+            alive[rows] = False
+
+        def by_image(rows, *order):
+            """The rows sorted by image and ``order``, and the borders between images."""
+            rows = rows[np.lexsort((*order[::-1], img[rows]))] if len(rows) else rows
+            return rows, [*np.flatnonzero(np.r_[True, np.diff(img[rows]) != 0]).tolist(), len(rows)] if len(rows) else [0]
+
+        def only(r, hits, odd):
+            rows, cuts = by_image(hits, -score[hits], code[hits])
+            with_odd = np.zeros(len(solo), dtype=bool)
+            with_odd[img[odd]] = True
+            for lo, hi in zip(cuts, cuts[1:]):
+                keep = r["keep_if"] if with_odd[img[rows[lo]]] else r["keep"]
+                if hi - lo <= keep:
+                    continue
+                own = rows[lo:hi]
+                gap = score[own[keep - 1]] - score[own[keep]]
+                pair, age = r["reason"] == "pair_conflict", r["reason"] == "age"
+                if gap >= r["margin"]:
+                    why = {"winner": names[code[own[0]]], "winner_score": score[own[0]]} if pair else {"winners": text(own[:keep])}
+                    remove(own[keep:], r["stage"], "pair_conflict_loser" if pair else "exclusive_loser", margin=None if age else gap, **why)
+                else:
+                    group = text(own[np.argsort(code[own])] if age else own)
+                    remove(own, r["stage"], "pair_conflict_ambiguous" if pair else "exclusive_ambiguous", group=group, margin=None if age else gap)
+
+        def prop(r, hits, odd):
+            enough = np.bincount(img[hits], minlength=len(solo)) >= r["least"]
+            rows, cuts = by_image(odd[~enough[img[odd]]], code[odd[~enough[img[odd]]]])
+            for lo, hi in zip(cuts, cuts[1:]):
+                why = {}
+                if r["reason"] == "support":
+                    own = hits[img[hits] == img[rows[lo]]]
+                    why = {"least": r["least"], "found": text(own[np.argsort(code[own])])}
+                remove(rows[lo:hi], r["stage"], "missing_support", **why)
+
+        def feet(r, hits, odd):
+            foot = np.flatnonzero(alive & (code == bare))
+            foot = foot[~np.isin(img[foot], img[odd])]
+            foot = foot[np.isin(img[foot], img[hits]) & (solo[img[foot]] | (not r["solo"]))]
+            for f in foot:
+                worn = hits[img[hits] == img[f]]
+                best = worn[np.lexsort((code[worn], score[worn]))[-1]]
+                apart = abs(score[f] - score[best])
+                worn = worn[np.argsort(code[worn])]
+                if apart < r["margin"]:
+                    both = np.r_[f, worn]
+                    remove(both[np.argsort(code[both])], r["stage"], "pair_conflict_ambiguous", group=text(both), margin=apart)
+                elif score[f] > score[best]:
+                    remove(worn, r["stage"], "pair_conflict_loser", winner="barefoot", winner_score=score[f], margin=apart)
+                else:
+                    remove([f], r["stage"], "pair_conflict_loser", winner=names[code[best]], winner_score=score[best], margin=apart)
+
+        for r, member, other in tables:
+            may = alive & (solo[img] | (not r["solo"]))
+            {"only": only, "prop": prop, "feet": feet}[r["kind"]](r, np.flatnonzero(may & member[code]), np.flatnonzero(may & other[code]))
+        return alive, gone
+
+    def run(batches):
+        import pyarrow.compute as pc
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tags = b.column("tags")
+            ord_, tag, score, guard = tags.flatten().flatten()
+            img = np.repeat(np.arange(b.num_rows), tags.value_lengths().to_numpy(zero_copy_only=False))
+            code = pc.fill_null(pc.index_in(tag, pa.array(names)), -1).to_numpy(zero_copy_only=False)
+            alive, gone = fold(code, score.to_numpy(zero_copy_only=False), img, b.column("solo").to_numpy(zero_copy_only=False))
+            kept = np.flatnonzero(alive)
+            rows = pa.array(np.r_[kept, [g[0] for g in gone]].astype(np.int64))
+            places = pa.concat_arrays([ord_.take(pa.array(kept)), pa.array([g[1] for g in gone], pa.int64())])
+            none = pa.nulls
+            extra = [pa.concat_arrays([none(len(kept), t), pa.array([g[k] for g in gone], t)]) for k, t in zip(range(2, 11), (pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.int32(), pa.string()))]
+            ids = b.column("image_id").take(pa.array(img)).take(rows)
+            yield pa.RecordBatch.from_arrays([ids, places, tag.take(rows), score.take(rows), guard.take(rows), *extra], names=["image_id", "ord", "tag", "score", "guard", "stage", "reason", *_WHY])
+
+    return run
 
 
 def resolve_conflicts(tags: DataFrame, features: DataFrame, limits: CaptionLimits) -> tuple[DataFrame, DataFrame]:
-    """Stages 6 to 8. Exclusive groups, pairs and footwear for single persons; global conflicts; abstract support."""
-    rules = conflict_rules(limits)
-    fields = ["kind", "stage", "members", "keep", "others", "keep_if", "margin", "reason", "solo", "least"]
-    lit = lambda v: F.array(*(F.lit(x) for x in v)) if isinstance(v, list) else F.lit(v)
-    listed = F.array(*(F.struct(*(lit(r[k]).alias(k) for k in fields)) for r in rules)).cast(_RULE)
-    rows = tags.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("bigint").alias("ord"), "tag", "score", "guard"))).cast(_ENTRY).alias("tags"))
-    rows = rows.join(features.select("image_id", (F.coalesce(F.col("people") == "1", F.lit(False))).alias("solo")), "image_id", "left")
-    start = F.struct(F.col("tags"), F.array().cast(_LOG).alias("log"), F.coalesce("solo", F.lit(False)).alias("solo"))
-    done = cut(rows.select("image_id", F.aggregate(listed, start, _fold).alias("s")), "resolved")  # read twice
-    kept = done.select("image_id", F.explode("s.tags").alias("t")).select("image_id", "t.*")
-    log = done.select("image_id", F.explode("s.log").alias("l")).select("image_id", "l.*").select(*AUDIT)
-    return kept, log
+    """Stages 6 to 8. Exclusive groups, pairs and footwear for single persons; global conflicts; abstract support.
+
+    The rules see each other's outcome, so they are folded in order (:func:`_resolver`), over whole Arrow batches of images.
+    """
+    rows = tags.groupBy("image_id").agg(F.collect_list(F.struct(F.col("ord").cast("bigint").alias("ord"), "tag", "score", F.col("guard").cast("int").alias("guard"))).cast(_ENTRY).alias("tags"))
+    rows = rows.join(features.select("image_id", (F.coalesce(F.col("people") == "1", F.lit(False))).alias("solo")), "image_id", "left").withColumn("solo", F.coalesce("solo", F.lit(False)))
+    kind = tags.schema["image_id"].dataType.simpleString()
+    done = cut(rows.mapInArrow(_resolver(conflict_rules(limits)), _RESOLVED.format(id=kind)), "resolved")  # read twice
+    why = _details(winners=F.col("winners"), winner=F.col("winner"), winner_score=F.col("winner_score"), group=F.col("group"), margin=F.col("margin"), minimum_support_count=F.col("least"), support_found=F.col("found"))
+    log = done.filter("stage IS NOT NULL").withColumn("details", why).select(*AUDIT)
+    return done.filter("stage IS NULL").select("image_id", "ord", "tag", "score", "guard"), log
 
 
 def drop_parents(tags: DataFrame, closure: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tag_form_sql
-from ..storage import table
+from ..functions.text import stripped_lower_sql, tag_form_sql
+from ..operators.graph import cosine_pairs
+from ..storage import cut, table
 from .clusters import set_clusters, similar_clusters
 from .cooccurrence import together
 from .groups import components
@@ -14,7 +18,7 @@ from .mixing import mix
 from .neighbors import neighbors
 from .packing import pack
 from .sampling import DIMENSIONS, proportional_samples
-from .terms import counted, term_frequencies
+from .terms import counted, latest, term_frequencies
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -83,13 +87,21 @@ def p2_found(spark, sf_dir):
 # Problem 3: most similar vectors
 
 
-@query("p3_found")
+_NEAR = """
+WITH v AS (SELECT image_id AS id, any_value(embedding)::DOUBLE[64] AS e FROM image_records WHERE image_id IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY image_id),
+s AS (SELECT a.id, b.id AS other, round(array_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.id <> b.id),
+near AS (SELECT id, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS rn FROM s WHERE sim >= 0.82) WHERE rn <= 10)
+"""
+
+
+@query("p3_found", _NEAR + "SELECT DISTINCT least(id, other) AS image_id, greatest(id, other) AS neighbor_id FROM near")
 def p3_found(spark, sf_dir):
     near = neighbors(table(spark, sf_dir, "image_records"), "image_id", "embedding", k=10, floor=0.82)
     return near.select(F.least("id", "other").alias("image_id"), F.greatest("id", "other").alias("neighbor_id")).distinct()
 
 
-@query("p3_neighbors")
+@query("p3_neighbors", _NEAR + "SELECT id AS image_id, other AS neighbor_id, sim AS similarity FROM near WHERE id % 20 = 0")
 def p3_neighbors(spark, sf_dir):
     """The listed neighbors of the query set: every image whose id is divisible by 20, searched among all images."""
     near = neighbors(table(spark, sf_dir, "image_records"), "image_id", "embedding", k=10, floor=0.82)
@@ -111,6 +123,41 @@ def p6_clusters(spark, sf_dir):
     return found.groupBy("medoid_id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list("id")).alias("members"))
 
 
+@query("p6_checks", "SELECT 'pairs below the floor' AS fault, 0::BIGINT AS n UNION ALL SELECT 'clusters that could be joined', 0::BIGINT UNION ALL SELECT 'wrong sizes', 0::BIGINT UNION ALL SELECT 'medoids that are no members', 0::BIGINT")
+def p6_checks(spark, sf_dir):
+    """What would be wrong with the clusters, counted against all pairs at the floor by brute force: every pair of a cluster must be
+    among them, and of no two clusters, nor of a cluster and a lone image, may all be."""
+    images = table(spark, sf_dir, "image_records")
+    found = cut(similar_clusters(images, "image_id", "embedding", floor=0.90), "found")
+    usable = images.filter("image_id IS NOT NULL AND size(embedding) = 64 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < 1e30) AND exists(embedding, x -> x <> 0)")
+    vectors = usable.groupBy("image_id").agg(F.min("embedding").alias("embedding"))
+    pairs = cosine_pairs(vectors, 0.8999990, "image_id", "embedding").filter(F.round("sim", 6) >= 0.9)
+    of = vectors.select("image_id").join(found.withColumnRenamed("id", "image_id"), "image_id", "left").select("image_id", F.coalesce("medoid_id", "image_id").alias("c"))
+    size = of.groupBy("c").agg(F.count("*").alias("size"))
+    side = lambda k, c: of.select(F.col("image_id").alias(k), F.col("c").alias(c))
+    met = pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+    met = cut(met.join(size.select(F.col("c").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("c").alias("b"), F.col("size").alias("sb")), "b"), "met")
+    inner = size.filter("size > 1").join(met.filter("a = b").select(F.col("a").alias("c"), "n"), "c", "left")
+    counts = {
+        "pairs below the floor": inner.filter("coalesce(n, 0) <> size * (size - 1) / 2"), "clusters that could be joined": met.filter("a <> b AND n = sa * sb"),
+        "wrong sizes": found.groupBy("medoid_id").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi")).filter("n <> lo OR lo <> hi OR n < 2"), "medoids that are no members": found.select("medoid_id").distinct().join(found.filter("id = medoid_id").select("medoid_id"), "medoid_id", "left_anti")}
+    return reduce(DataFrame.union, (df.agg(F.count("*").alias("n")).select(F.lit(k).alias("fault"), "n") for k, df in counts.items()))
+
+
+@query("p6_tag_checks", "SELECT 'members unlike their medoid' AS fault, 0::BIGINT AS n UNION ALL SELECT 'links between images left out', 0::BIGINT")
+def p6_tag_checks(spark, sf_dir):
+    """What would be wrong with the clusters of tag sets: a member whose Jaccard similarity to its medoid is below the floor, or two images of no cluster that reach it (by brute force over their terms)."""
+    records, _ = counted(table(spark, sf_dir, "caption_results"))
+    sets = cut(records.groupBy("id").agg(F.collect_set("term").alias("items")), "sets")
+    got = cut(set_clusters(sets, floor=0.5), "got")
+    m = got.join(sets, "id").join(sets.select(F.col("id").alias("medoid_id"), F.col("items").alias("theirs")), "medoid_id")
+    common = F.size(F.array_intersect("items", "theirs"))
+    unlike = m.filter(2 * common < F.size("items") + F.size("theirs") - common)
+    rest = cut(sets.join(got.select("id"), "id", "left_anti"), "rest").select("id", F.size("items").alias("s"), F.explode("items").alias("t"))
+    both = rest.join(rest.select(F.col("id").alias("id_b"), F.col("s").alias("s_b"), "t"), "t").filter("id < id_b").groupBy("id", "id_b").agg(F.count("*").alias("c"), F.first("s").alias("s"), F.first("s_b").alias("s_b")).filter("2 * c >= s + s_b - c")
+    return unlike.agg(F.count("*").alias("n")).select(F.lit("members unlike their medoid").alias("fault"), "n").union(both.agg(F.count("*").alias("n")).select(F.lit("links between images left out"), "n"))
+
+
 @query("p6_tag_clusters")
 def p6_tag_clusters(spark, sf_dir):
     """Images whose newest tag sets share at least half their tags: the set form of the operator, over all pairs."""
@@ -146,6 +193,12 @@ def p7_pairs(spark, sf_dir):
     return pairs.select(F.col("a").alias("tag_a"), F.col("b").alias("tag_b"), F.col("both").alias("images"), lift.alias("lift"), "expected", "ln_p", "surprising")
 
 
+@query("p7_lifts", _PAIRS[: _PAIRS.index("named AS")].rstrip().rstrip(",") + " SELECT tag_a, tag_b, c AS images, round(c * n.n::DOUBLE / x.records / y.records, 9) AS lift FROM pairs JOIN freq x ON x.term = tag_a JOIN freq y ON y.term = tag_b, n")
+def p7_lifts(spark, sf_dir):
+    """The counts and lifts of p7_pairs."""
+    return p7_pairs(spark, sf_dir).select("tag_a", "tag_b", "images", F.round("lift", 9).alias("lift"))
+
+
 @query("p7_counts", _PAIRS + "SELECT tag_a, tag_b, c AS images, n_a, n_b FROM named")
 def p7_counts(spark, sf_dir):
     records, n = counted(table(spark, sf_dir, "caption_results"))
@@ -190,6 +243,18 @@ def p5_report(spark, sf_dir):
     return report.select("request_id", "dimension", "category", F.round("need", 4).alias("need"), "available")
 
 
+@query("p5_sizes", _SAMPLE + """, own AS (SELECT job_id, count(*) AS n FROM newest WHERE rn = 1 AND image_id IS NOT NULL GROUP BY job_id)
+SELECT request_id, least(coalesce(target_size, 0), own.n) AS images, least(coalesce(target_size, 0), own.n) AS different, least(coalesce(target_size, 0), own.n) AS of_the_job FROM req JOIN own USING (job_id) WHERE target_size > 0""")
+def p5_sizes(spark, sf_dir):
+    """Of every sample how many images it has, how many different ones, and how many of the request's own job."""
+    items, requests = table(spark, sf_dir, "curated_items"), table(spark, sf_dir, "finalize_requests")
+    sample = proportional_samples(items, requests)[0]
+    of = latest(items, "image_id", ["tagged_at", "loaded_at"], ["job_id"])
+    asked = latest(requests, "request_id", ["submitted_at"], ["job_id"]).withColumnRenamed("job_id", "own")
+    t = sample.join(of, "image_id").join(asked, "request_id")
+    return t.groupBy("request_id").agg(F.count("*").alias("images"), F.countDistinct("image_id").alias("different"), F.count_if(F.col("job_id") == F.col("own")).alias("of_the_job"))
+
+
 @query("p5_sample")
 def p5_sample(spark, sf_dir):
     return proportional_samples(table(spark, sf_dir, "curated_items"), table(spark, sf_dir, "finalize_requests"))[0]
@@ -210,6 +275,18 @@ def p8_packing(spark, sf_dir):
     return p.select(F.col("id").alias("doc_id"), "piece", F.col("n").alias("tokens"), "sequence_id", "at")
 
 
+@query("p8_checks", "SELECT 'sequences over their capacity' AS what, 0::BIGINT AS n UNION ALL SELECT 'documents that overlap', 0::BIGINT UNION ALL SELECT 'documents with a piece missing', 0::BIGINT UNION ALL SELECT 'documents', count(*) FROM documents WHERE text <> '' UNION ALL SELECT 'percent of room unused, rounded', 0::BIGINT")
+def p8_checks(spark, sf_dir):
+    """What would be wrong with the packing, and how many documents it holds."""
+    p = cut(pack(table(spark, sf_dir, "documents"), "doc_id", "text", capacity=2048), "packed")
+    before = F.lag(F.col("at") + F.col("n")).over(Window.partitionBy("sequence_id").orderBy("at"))
+    pieces = p.groupBy("id").agg(F.count("*").alias("n"), F.max("piece").alias("last"), F.countDistinct("piece").alias("different"))
+    room = p.agg(F.round(100 - 100 * F.sum("n") / ((F.max("sequence_id") + 1) * 2048) - 0.5).cast("long").alias("n"))
+    counts = {"sequences over their capacity": p.filter("at + n > 2048"), "documents that overlap": p.withColumn("end", before).filter("at < end"), "documents with a piece missing": pieces.filter("n <> last + 1 OR n <> different"), "documents": pieces}
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n") for k, df in counts.items()]
+    return reduce(DataFrame.union, [*rows, room.select(F.lit("percent of room unused, rounded"), "n")])
+
+
 @query("p8_fill")
 def p8_fill(spark, sf_dir):
     """How full the sequences are."""
@@ -220,7 +297,24 @@ def p8_fill(spark, sf_dir):
 # Problem 9: mixing sources
 
 
-@query("p9_found")
+# No source is near its limit in any tokenizer, so characters tell as well as tokens which fall short.
+_MIX = f"""
+WITH d AS (SELECT {stripped_lower_sql("source")} AS source, length(text) AS n FROM documents WHERE source IS NOT NULL AND {stripped_lower_sql("text")} <> ''),
+t AS (SELECT {stripped_lower_sql("source")} AS source, max(target_share) AS share, max(max_repeats) AS repeats FROM source_targets WHERE source IS NOT NULL GROUP BY 1),
+s AS (SELECT t.source, share, repeats, coalesce((SELECT sum(n) FROM d WHERE d.source = t.source), 0) AS n, (SELECT sum(n) FROM d) AS total FROM t)
+"""
+
+
+@query("p9_checks", _MIX + "SELECT source, repeats * n < share * total AS short, true AS within_repeats, true AS share_met FROM s")
+def p9_checks(spark, sf_dir):
+    """Of every source whether it falls short, whether no document is used too often, and whether the draw comes within 1 %, or its longest document, of its need, or of all there is."""
+    draw, report = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), "doc_id", "text", "source")
+    most = draw.groupBy("source").agg(F.max("uses").alias("most"), F.max("n").alias("longest"))
+    goal = F.when(F.col("short"), F.col("available")).otherwise(F.col("need"))
+    return report.join(most, "source", "left").select("source", "short", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.col("drawn") - goal) <= F.greatest(0.01 * goal, F.coalesce("longest", F.lit(0)))).alias("share_met"))
+
+
+@query("p9_found", _MIX + "SELECT source FROM s WHERE repeats * n < share * total")
 def p9_found(spark, sf_dir):
     _, report = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), "doc_id", "text", "source")
     return report.filter("short").select("source")

@@ -121,9 +121,10 @@ def fragments(links: DataFrame, fragment: int, level: int, most: int | None = No
     first = links.filter(inner).groupBy("child").agg(F.min("parent").alias("to"), F.count("*").alias("n"))
     begins = F.pmod(F.xxhash64("child", F.lit(level)), F.lit(STRETCH)) == 0
     at = cut(first.select(F.col("child").alias("node"), F.when(begins, F.col("child")).otherwise(F.col("to")).alias("at"), "n"), "chains")
-    for _ in range(JUMPS):
+    for k in range(JUMPS):
         further = at.select(F.col("node").alias("at"), F.col("at").alias("next"))
-        at = cut(at.join(further, "at", "left").select("node", F.coalesce("next", "at").alias("at"), "n"), "chains")
+        at = at.join(further, "at", "left").select("node", F.coalesce("next", "at").alias("at"), "n")
+        at = cut(at, "chains") if k % 2 else at  # two doublings a table
     pieces = at.groupBy("at").agg(F.ceil(F.sum("n") / fragment).cast("int").alias("pieces"))
     spot = lambda label, piece: F.pmod(F.xxhash64(label, piece, F.lit(level)), F.lit(parts)).cast("int")
     where = cut(at.join(pieces, "at").select("node", spot("at", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).alias("spot")), "spots")

@@ -2,7 +2,7 @@
 
 Tags travel as a long table (image_id, ord, tag, score). A stage takes such a table and
 returns (kept, audit); audit rows are (image_id, stage, ord, tag, score, reason,
-details). All stages group by image_id, so one exchange serves the whole chain. Only
+details). What is kept is found by keyed aggregates, the audit by windows that run only if it is asked for. Only
 the conflict rules depend on each other's outcome one after the other: they are folded over Arrow
 batches of whole images.
 
@@ -68,10 +68,9 @@ def normalize(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = raw.select("image_id", "ord", folded(F.col("tag")).alias("tag"), F.col("score").cast("double").alias("score")).filter("tag <> '' AND score IS NOT NULL")
     w = Window.partitionBy("image_id", "tag")
     before = F.max("score").over(w.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumns({"before": before, "first": F.min("ord").over(w), "best": F.max("score").over(w)})
-    lost = t.filter("before IS NOT NULL").withColumns({"winner": F.greatest("before", "score"), "score": F.least("before", "score")})
+    lost = t.withColumn("before", before).filter("before IS NOT NULL").withColumns({"winner": F.greatest("before", "score"), "score": F.least("before", "score")})
     audit = _audit(lost, 1, "normalized_duplicate", _details(winner=F.col("tag"), winner_score=F.col("winner")))
-    return t.filter("before IS NULL").select("image_id", F.col("first").alias("ord"), "tag", F.col("best").alias("score")), audit
+    return t.groupBy("image_id", "tag").agg(F.min("ord").alias("ord"), F.max("score").alias("score")).select("image_id", "ord", "tag", "score"), audit
 
 
 def required_score(canonical: Column, limits: CaptionLimits) -> Column:
@@ -146,14 +145,14 @@ def canonicalize(tags: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFr
     w = Window.partitionBy("image_id", "canonical")
     key = F.struct("score", -F.col("ord"), "tag")
     before = F.max(key).over(w.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumns({"before": before, "best": F.max("score").over(w), "guards": F.min("guard").over(w)})
+    late = t.withColumn("before", before)
     beats = F.col("score") > F.col("before.score")
-    lost = t.filter("before IS NOT NULL").select(
+    lost = late.filter("before IS NOT NULL").select(
         "image_id", "ord", "canonical", F.when(beats, F.col("before.tag")).otherwise(F.col("tag")).alias("tag"), F.least("score", "before.score").alias("score"),
         F.when(beats, F.col("tag")).otherwise(F.col("before.tag")).alias("source"), F.greatest("score", "before.score").alias("winner"))
     audit = _audit(lost, 5, "alias_duplicate", _details(canonical_tag=F.col("canonical"), winner=F.col("canonical"), winner_source=F.col("source"), winner_score=F.col("winner")))
-    kept = t.filter("before IS NULL").select("image_id", "ord", F.col("canonical").alias("tag"), F.col("best").alias("score"), F.col("guards").alias("guard"))
-    return kept, audit
+    kept = t.groupBy("image_id", F.col("canonical").alias("tag")).agg(F.min("ord").alias("ord"), F.max("score").alias("score"), F.min("guard").alias("guard"))
+    return kept.select("image_id", "ord", "tag", "score", "guard"), audit
 
 
 # Stages 6 to 8: rules that see each other's outcome

@@ -10,12 +10,16 @@ WS = r"[\s\x{85}\p{Z}\x{1c}-\x{1f}]"
 STRIP = rf"^{WS}+|{WS}+$"
 
 
+#: Names that are in TAG FORM as they stand; most are, and one match tells.
+CANONICAL = r"^[a-z0-9()'\-]+(?:_[a-z0-9()'\-]+)*\z"
+
+
 def tag_form(c: Column) -> Column:
     """Canonical tag: strip white space, strip commas, lower-case, blanks to ``_``,
     runs of ``_`` to one, strip ``_``. Null and empty stay null and empty."""
-    c = F.regexp_replace(c, STRIP, "")
-    c = F.lower(F.regexp_replace(c, r"^,+|,+$", ""))
-    return F.regexp_replace(F.regexp_replace(c, r"[ _]+", "_"), r"^_|_$", "")
+    t = F.regexp_replace(c, STRIP, "")
+    t = F.lower(F.regexp_replace(t, r"^,+|,+$", ""))
+    return F.when(c.rlike(CANONICAL), c).otherwise(F.regexp_replace(F.regexp_replace(t, r"[ _]+", "_"), r"^_|_$", ""))
 
 
 def tag_form_sql(c: str) -> str:

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumisift.functions import vocab as V
 from lumisift.operators import tagrules as R
@@ -198,3 +199,12 @@ def test_idempotent(spark, cases):
     tags = cases["clean"][1]
     (again,) = run(spark, [([(t, 0.95) for t in tags], ONE)])
     assert set(again[1]) == set(tags)
+
+
+def test_tag_form_of_names_that_are_in_it_already(spark):
+    from lumisift.functions.text import tag_form
+
+    names = ["a_b", "a__b", "_a", "a_", "A_b", "a b", " a", "a,", ",", "", None, "a-b_(c)", "it's", "é_b", "a\n", "a_b\n", "1_2", "a. b", "ａ_ b"]
+    want = ["a_b", "a_b", "a", "a", "a_b", "a_b", "a", "a", "", "", None, "a-b_(c)", "it's", "é_b", "a", "a_b", "1_2", "a._b", "ａ_b"]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string")
+    assert [r.t for r in df.select("k", tag_form(F.col("n")).alias("t")).orderBy("k").collect()] == want

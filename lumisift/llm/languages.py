@@ -79,12 +79,13 @@ def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(number)
 
 
-def _sums(weights: np.ndarray, bucket: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+def _sums(weights: np.ndarray, bucket: np.ndarray, number: np.ndarray, n: int, block: int = 1 << 14) -> np.ndarray:
+    """The weights' rows summed by text; blocks are small enough to stay in a processor's cache."""
     out = np.zeros((n, weights.shape[1]))
-    for lo in range(0, len(bucket), 1 << 18):
-        b, k = bucket[lo : lo + (1 << 18)], number[lo : lo + (1 << 18)]
+    for lo in range(0, len(bucket), block):
+        b, k = bucket[lo : lo + block], number[lo : lo + block]
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])  # runs of one text
-        np.add.at(out, k[first], np.add.reduceat(weights[b], first, axis=0, dtype=np.float64))
+        np.add.at(out, k[first], np.add.reduceat(weights[b], first, axis=0))
     return out
 
 
@@ -118,7 +119,7 @@ def fit(texts: list[str], labels: list[str], languages: list[str], rounds: int =
             own = of[k * piece : k * piece + len(part)]
             np.add.at(counts, (bucket, own[number]), 1.0)
         if r < rounds - 1:
-            weights = log_odds(counts)
+            weights = log_odds(counts).astype(np.float64)
             weights[:, np.setdiff1d(np.arange(len(languages)), kept)] = -50.0
             of = np.concatenate([_sums(weights, *ngram_buckets(part), len(part)).argmax(1) for part in parts])
             same = np.bincount(given, of == given, len(languages)) * 2 >= np.bincount(given, minlength=len(languages))
@@ -166,7 +167,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, weights: np.ndarray, lan
     model = df.sparkSession.sparkContext.broadcast(weights)  # BUCKETS x languages, of fixed size
 
     def run(batches):
-        w = model.value
+        w = model.value.astype(np.float64)
         for p in batches:
             for lo in range(0, len(p), 256):
                 part = p.iloc[lo : lo + 256]

@@ -128,11 +128,11 @@ def _dot(a: str, b: str):
 
 
 def _lowest(members: DataFrame, block: int = 4096) -> DataFrame:
-    """(cluster_id, lowest): the least dot product between two members, 1 for one member; exact.
+    """(cluster_id, lowest): the least dot product between two members of every cluster of two or more; exact.
 
     A cluster's blocks meet each other once, one bounded product a task, of which only the minimum leaves it.
     """
-    size = members.groupBy("cluster_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    size = members.groupBy("cluster_id").agg(F.count("*").alias("n")).filter("n > 1").select("cluster_id", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     t = members.select("cluster_id", "id", "v").join(size, "cluster_id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = t.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster_id", "v", "mine", F.least("mine", "o").alias("x"), F.greatest("mine", "o").alias("y"))
 
@@ -161,9 +161,9 @@ def medoids(members: DataFrame) -> DataFrame:
     m = members.select("cluster_id", "id", "path", "pos", "v")
     scored = m.join(_totals(m), "cluster_id").select("cluster_id", "id", "path", "pos", "v", F.round(_dot("v", "total"), 9).alias("s"))
     best = scored.groupBy("cluster_id").agg(F.max_by(F.struct("id", "v"), F.struct("s", -F.col("pos"))).alias("best"), F.count("*").alias("size"))
-    to = m.join(best.select("cluster_id", F.col("best.id").alias("medoid"), F.col("best.v").alias("centre"), "size"), "cluster_id").join(_lowest(m), "cluster_id")
+    to = m.join(best.select("cluster_id", F.col("best.id").alias("medoid"), F.col("best.v").alias("centre"), "size"), "cluster_id").join(_lowest(m), "cluster_id", "left")
     sim = F.greatest(F.least(_dot("v", "centre"), F.lit(1.0)), F.lit(-1.0))
-    d = to.select("cluster_id", "id", "path", (F.col("id") == F.col("medoid")).alias("is_medoid"), sim.alias("sim_to_medoid"), "size", "lowest")
+    d = to.select("cluster_id", "id", "path", (F.col("id") == F.col("medoid")).alias("is_medoid"), sim.alias("sim_to_medoid"), "size", F.coalesce("lowest", F.lit(1.0)).alias("lowest"))
     order = Window.partitionBy("cluster_id").orderBy(F.desc("is_medoid"), F.round("sim_to_medoid", 9).desc(), "path")
     ranked = d.withColumn("rank", F.row_number().over(order) - 1)
     return ranked.select("cluster_id", "id", F.when(F.col("is_medoid"), "medoid").otherwise("member").alias("role"), "rank", "sim_to_medoid", "size", "lowest")

@@ -102,6 +102,24 @@ def cluster_accounting(spark, sf_dir):
     return graph.accounting(sizes, v.join(kept.withColumnRenamed("node", "vec_id"), "vec_id", "left_semi").select(F.col("cluster_id").alias("node")))
 
 
+@query("linkage_checks", "SELECT count(DISTINCT vec_id) AS vectors, 0::BIGINT AS loose, 0::BIGINT AS joinable, 0::BIGINT AS misnumbered FROM embeddings")
+def linkage_checks(spark, sf_dir):
+    """What would be wrong with complete_linkage, counted over all pairs at its floor: clusters with a pair below it, two clusters
+    all of whose pairs reach it, and clusters not numbered by their first members."""
+    v = table(spark, sf_dir, "embeddings")
+    of = cut(clusters.complete_linkage_clusters(v, 0.45).select("id", F.col("cluster_id").alias("c")), "linked")
+    size = of.groupBy("c").agg(F.count("*").alias("size"), F.min("id").alias("first"))
+    side = lambda k, c: of.select(F.col("id").alias(k), F.col("c").alias(c))
+    met = graph.cosine_pairs(v, 0.45).join(side("src", "a"), "src").join(side("dst", "b"), "dst").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+    met = cut(met, "met")
+    loose = size.join(met.filter("a = b").select(F.col("a").alias("c"), "n"), "c", "left").filter("coalesce(n, 0) <> size * (size - 1) / 2")
+    joinable = met.filter("a <> b").join(size.select(F.col("c").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("c").alias("b"), F.col("size").alias("sb")), "b").filter("n = sa * sb")
+    wrong = size.withColumn("place", F.row_number().over(Window.orderBy("first")) - 1).filter("place <> c")
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n") for k, df in {"vectors": of, "loose": loose, "joinable": joinable, "misnumbered": wrong}.items()]
+    t = rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    return t.agg(*(F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in ("vectors", "loose", "joinable", "misnumbered")))
+
+
 # Inspection
 
 _ANSWERS = """SELECT image_id AS id, CASE image_id % 5 WHEN 0 THEN [[1.5::DOUBLE, 2, image_id % 100, 4]] WHEN 1 THEN [[(image_id % 1000)::DOUBLE, 20, 30, 40]] WHEN 2 THEN [[1::DOUBLE, 2, 3, image_id % 7], [5::DOUBLE, 6, 7, 8]]

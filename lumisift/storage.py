@@ -7,6 +7,7 @@ session without that setting (a test, a laptop) gets a temporary folder.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -32,17 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_LOCK = threading.Lock()
+_HELD: dict = {}  # by application: how many statements are inside, and the settings before the first
+
+
 @contextmanager
 def freed_shuffles(spark: SparkSession):
-    """Shuffle files of the statements inside are deleted as each one ends."""
-    old = {k: spark.conf.get(k, None) for k in _FREE_SHUFFLES}
+    """Shuffle files of the statements inside are deleted as each one ends.
+
+    Jobs in several threads may be inside at once: the first sets the session, the last sets it back.
+    """
+    app = spark.sparkContext.applicationId
+    with _LOCK:
+        n, old = _HELD.get(app, (0, {}))
+        if not n:
+            old = {k: spark.conf.get(k, None) for k in _FREE_SHUFFLES}
+            for k in _FREE_SHUFFLES:
+                spark.conf.set(k, "true")
+        _HELD[app] = (n + 1, old)
     try:
-        for k in _FREE_SHUFFLES:
-            spark.conf.set(k, "true")
         yield
     finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        with _LOCK:
+            n, old = _HELD[app]
+            _HELD[app] = (n - 1, old)
+            if n == 1:
+                for k, v in old.items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def cut(df: DataFrame, label: str = "t") -> DataFrame:

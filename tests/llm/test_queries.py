@@ -6,7 +6,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-NAMES = ["p1_found", "p1_terms", "p2_found", "p5_found", "p5_report", "p7_found", "p7_counts"]
+NAMES = ["p1_found", "p1_terms", "p2_found", "p3_found", "p3_neighbors", "p5_found", "p5_report", "p5_sizes", "p6_checks", "p7_found", "p7_counts", "p7_lifts", "p8_checks", "p9_found"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -306,10 +306,14 @@ def resolve_conflicts(tags: DataFrame, features: DataFrame, limits: CaptionLimit
 
 
 def drop_parents(tags: DataFrame, closure: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stage 9. Removes every tag that is a parent of a present one (closure: child, parent), the smallest child being credited; seen on the stage's own snapshot."""
+    """Stage 9. Removes every tag that is a parent of a present one (closure: child, parent), the smallest child being credited; seen on the stage's own snapshot.
+
+    Both sides of the join by image hold as many rows as there are tags. Written tags are small files, repeated names as they are, so that
+    by file size the planner would gather millions of rows on the driver to broadcast them; the hint keeps the join a merge.
+    """
     found = tags.select("image_id", F.col("tag").alias("child")).join(closure.select("child", F.col("parent").alias("tag")), "child")
     by = found.groupBy("image_id", "tag").agg(F.min("child").alias("child"))
-    t = tags.join(by, ["image_id", "tag"], "left")
+    t = tags.join(by.hint("merge"), ["image_id", "tag"], "left")
     gone = t.filter("child IS NOT NULL").withColumn("ord", F.row_number().over(Window.partitionBy("image_id").orderBy("child", "tag")))
     return t.filter("child IS NULL").select(*tags.columns), _audit(gone, 9, "redundant_parent", _details(child=F.col("child")))
 

@@ -297,7 +297,8 @@ def resolve_conflicts(tags: DataFrame, features: DataFrame, limits: CaptionLimit
     The rules see each other's outcome, so they are folded in order (:func:`_resolver`), over whole Arrow batches of images.
     """
     rows = tags.groupBy("image_id").agg(F.collect_list(F.struct(F.col("ord").cast("bigint").alias("ord"), "tag", "score", F.col("guard").cast("int").alias("guard"))).cast(_ENTRY).alias("tags"))
-    rows = rows.join(features.select("image_id", (F.coalesce(F.col("people") == "1", F.lit(False))).alias("solo")), "image_id", "left").withColumn("solo", F.coalesce("solo", F.lit(False)))
+    single = features.select("image_id", (F.coalesce(F.col("people") == "1", F.lit(False))).alias("solo"))  # one row per image: merged, as in stage 9
+    rows = rows.join(single.hint("merge"), "image_id", "left").withColumn("solo", F.coalesce("solo", F.lit(False)))
     kind = tags.schema["image_id"].dataType.simpleString()
     done = cut(rows.mapInArrow(_resolver(conflict_rules(limits)), _RESOLVED.format(id=kind)), "resolved")  # read twice
     why = _details(winners=F.col("winners"), winner=F.col("winner"), winner_score=F.col("winner_score"), group=F.col("group"), margin=F.col("margin"), minimum_support_count=F.col("least"), support_found=F.col("found"))
